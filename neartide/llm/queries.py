@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from neartide.sources.tables import table
 
 
+def op2_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neartide.llm import rlz
+
+    return rlz.parse(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from neartide.llm import simhash
 
@@ -22,6 +28,7 @@ def op8_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_rlz_substring_dedup": op2_rlz_substring_dedup,
     "op4_simhash_tiles": op4_simhash_tiles,
     "op8_virtual_slot_sharding": op8_virtual_slot_sharding,
 }
