@@ -27,10 +27,17 @@ def op8_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op9_hashed_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neartide.llm import maxent
+
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rlz_substring_dedup": op2_rlz_substring_dedup,
     "op4_simhash_tiles": op4_simhash_tiles,
     "op8_virtual_slot_sharding": op8_virtual_slot_sharding,
+    "op9_hashed_maxent_lm": op9_hashed_maxent_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {}
