@@ -21,6 +21,12 @@ def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neartide.llm import decontaminate
+
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from neartide.llm import sharding
 
@@ -36,6 +42,7 @@ def op9_hashed_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rlz_substring_dedup": op2_rlz_substring_dedup,
     "op4_simhash_tiles": op4_simhash_tiles,
+    "op5_positional_decontamination": op5_positional_decontamination,
     "op8_virtual_slot_sharding": op8_virtual_slot_sharding,
     "op9_hashed_maxent_lm": op9_hashed_maxent_lm,
 }
