@@ -15,6 +15,12 @@ def op2_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.parse(table(spark, sf_dir, "documents"))
 
 
+def op3_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neartide.llm import packing
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from neartide.llm import simhash
 
@@ -41,6 +47,7 @@ def op9_hashed_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rlz_substring_dedup": op2_rlz_substring_dedup,
+    "op3_bin_completion_packing": op3_bin_completion_packing,
     "op4_simhash_tiles": op4_simhash_tiles,
     "op5_positional_decontamination": op5_positional_decontamination,
     "op8_virtual_slot_sharding": op8_virtual_slot_sharding,
