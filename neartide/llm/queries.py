@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from neartide.sources.tables import table
 
 
+def op1_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neartide.llm import pii
+
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from neartide.llm import rlz
 
@@ -46,6 +52,7 @@ def op9_hashed_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_rlz_substring_dedup": op2_rlz_substring_dedup,
     "op3_bin_completion_packing": op3_bin_completion_packing,
     "op4_simhash_tiles": op4_simhash_tiles,
