@@ -51,6 +51,12 @@ def op9_hashed_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(table(spark, sf_dir, "documents"))
 
 
+def op10_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neartide.llm import quality
+
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_skip_chain_pii": op1_skip_chain_pii,
     "op2_rlz_substring_dedup": op2_rlz_substring_dedup,
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_positional_decontamination": op5_positional_decontamination,
     "op8_virtual_slot_sharding": op8_virtual_slot_sharding,
     "op9_hashed_maxent_lm": op9_hashed_maxent_lm,
+    "op10_hierarchical_quality": op10_hierarchical_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
