@@ -39,6 +39,12 @@ def op5_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_prefix_forest_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neartide.llm import forest
+
+    return forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from neartide.llm import sharding
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bin_completion_packing": op3_bin_completion_packing,
     "op4_simhash_tiles": op4_simhash_tiles,
     "op5_positional_decontamination": op5_positional_decontamination,
+    "op7_prefix_forest_ann": op7_prefix_forest_ann,
     "op8_virtual_slot_sharding": op8_virtual_slot_sharding,
     "op9_hashed_maxent_lm": op9_hashed_maxent_lm,
     "op10_hierarchical_quality": op10_hierarchical_quality,
