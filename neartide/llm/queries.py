@@ -39,6 +39,12 @@ def op5_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from neartide.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_prefix_forest_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from neartide.llm import forest
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bin_completion_packing": op3_bin_completion_packing,
     "op4_simhash_tiles": op4_simhash_tiles,
     "op5_positional_decontamination": op5_positional_decontamination,
+    "op6_license_paragraphs": op6_license_paragraphs,
     "op7_prefix_forest_ann": op7_prefix_forest_ann,
     "op8_virtual_slot_sharding": op8_virtual_slot_sharding,
     "op9_hashed_maxent_lm": op9_hashed_maxent_lm,
