@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,7 +75,7 @@ def require_distinct(reads: DataFrame, name: str = "read_name") -> DataFrame:
 
 def region_slice(sequences: DataFrame, chromosome: str, start: int, end: int) -> DataFrame:
     """The stretch [start, end) of a named sequence in upper case, named chromosome_start_end."""
-    return sequences.where(F.col("name") == chromosome).select(F.lit(f"{chromosome}_{start}_{end}").alias("name"), F.upper(F.substring("sequence", start + 1, end - start)).alias("sequence"))
+    return sequences.where(F.col("name") == chromosome).select(F.lit(f"{chromosome}_{start}_{end}").alias("name"), F.translate(F.substring("sequence", start + 1, end - start), string.ascii_lowercase, string.ascii_uppercase).alias("sequence"))
 
 
 # ---- samples

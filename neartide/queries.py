@@ -1,5 +1,881 @@
-"""Queries over the driver's tables, one for each of the engine's own operators."""
+"""Queries over the driver's tables, one for each of the engine's own operators, with the same in SQL.
+
+The tables stand in for reads: documents are sequences, lineitem gives sparse
+features (order x part) and alignment records, events are intervals and
+embeddings dense vectors.  Every query runs over whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from neartide.functions import sequence as S
+from neartide.operators import align as A
+from neartide.operators import components as C
+from neartide.operators import encode as E
+from neartide.operators import evaluate as V
+from neartide.operators import graphs as G
+from neartide.operators import importers as I
+from neartide.operators import intervals as J
+from neartide.operators import neighbors as N
+from neartide.operators import records as R
+from neartide.operators import reduce as D
+from neartide.operators import weighting as W
+from neartide.sources.tables import table
 
 ENTRY = "sparse_cosine_topk"
-QUERIES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small file is one partition; rows are dealt out before they are exploded."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+# ---- stand-ins, and the same in SQL
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("read"), "doc_id").alias("name"), "text")
+    return E.oriented(named, "doc_id", "name", "text")
+
+
+def forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("read_id"), F.col("text").alias("sequence"))
+
+
+def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("read_id"), "l_partkey")
+    return E.feature_counts(items, "l_partkey")
+
+
+def rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that at least two and at most a fifth of all documents have."""
+    base = docs(spark, sf_dir)
+    return E.with_document_frequency(E.words(base), 2, int(0.2 * base.count()))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("read_id"), F.col("embedding").alias("vector"))
+
+
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("read_id"), F.col("event_type").alias("grp"), start.alias("start_pos"), (start + F.floor(F.col("value") * 60)).cast("long").alias("end_pos"))
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("r"), "l_orderkey").alias("query_name"), F.floor("l_extendedprice").cast("long").alias("query_length"),
+        F.when(F.col("l_linestatus") == "F", "-").otherwise("+").alias("strand"), F.concat(F.lit("r"), "l_partkey").alias("target_name"),
+        (F.col("l_suppkey") * 100).alias("target_start"), (F.col("l_suppkey") * 100 + F.floor(F.col("l_quantity") * 10)).cast("long").alias("target_end"),
+        F.floor(F.col("l_quantity") * 200).cast("long").alias("num_matching_bases"), F.floor(F.col("l_extendedprice") / 4).cast("long").alias("alignment_block_length"),
+        F.floor(F.col("l_discount") * 1000 + 0.5).cast("int").alias("mapping_quality"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("line_no"),
+        "l_orderkey", "l_partkey", "l_returnflag",
+    )
+
+
+def part_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("r"), "p_partkey").alias("name"), (F.col("p_partkey") * 2).alias("id"))
+
+
+ALN = """aln AS (SELECT 'r' || l_orderkey AS query_name, floor(l_extendedprice)::BIGINT AS query_length, CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END AS strand,
+ 'r' || l_partkey AS target_name, l_suppkey * 100 AS target_start, (l_suppkey * 100 + floor(l_quantity * 10))::BIGINT AS target_end, floor(l_quantity * 200)::BIGINT AS num_matching_bases,
+ floor(l_extendedprice / 4)::BIGINT AS alignment_block_length, floor(l_discount * 1000 + 0.5)::INT AS mapping_quality, (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 10000 + l_suppkey AS line_no, l_orderkey, l_partkey, l_returnflag FROM lineitem),
+idx AS (SELECT 'r' || p_partkey AS name, p_partkey * 2 AS id FROM part)"""
+
+REVCOMP = "reverse(translate({0}, 'ACGTacgt', 'TGCAtgca'))"
+ORIENTED = f"""oriented AS (SELECT 2 * doc_id AS read_id, 'read' || doc_id AS read_name, '+' AS read_orientation, text AS sequence FROM documents
+ UNION ALL SELECT 2 * doc_id + 1, 'read' || doc_id, '-', {REVCOMP.format('text')} FROM documents)"""
+FORWARD = "fwd AS (SELECT doc_id AS read_id, text AS sequence FROM documents)"
+
+
+def kmer_sql(source: str, k: int) -> str:
+    return f"kmers AS (SELECT read_id, pos, substr(sequence, pos + 1, {k}) AS kmer FROM (SELECT read_id, sequence, unnest(range(0, greatest(length(sequence) - {k} + 1, 0))) AS pos FROM {source}))"
+
+
+def hash_sql(x: str, seed) -> str:
+    return f"('0x' || substr(md5('{seed}:' || ({x})::VARCHAR), 1, 15))::BIGINT"
+
+
+def uniform_sql(x: str, seed) -> str:
+    return f"(({hash_sql(x, seed)})::DOUBLE + 1.0) / {float(S.HASH_RANGE + 2)!r}"
+
+
+FEATURES = "feat AS (SELECT l_orderkey AS read_id, l_partkey AS feature_id, count(*) AS cnt FROM lineitem GROUP BY 1, 2)"
+WORDS = r"""wrd AS (SELECT doc_id AS read_id, w AS feature_id, count(*) AS cnt FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}]+')) AS w FROM documents) WHERE w <> '' GROUP BY 1, 2),
+rare AS (SELECT * FROM wrd WHERE feature_id IN (SELECT feature_id FROM wrd GROUP BY 1 HAVING count(*) BETWEEN 2 AND floor(0.2 * (SELECT count(*) FROM documents))))"""
+VEC = "vec AS (SELECT vec_id AS read_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
+IVL = "ivl AS (SELECT event_id AS read_id, event_type AS grp, floor(epoch(ts))::BIGINT AS start_pos, (floor(epoch(ts)) + floor(value * 60))::BIGINT AS end_pos FROM events)"
+PAIR = """prs AS (SELECT a.read_id AS x, b.read_id AS y, a.start_pos AS s1, a.end_pos AS e1, b.start_pos AS s2, b.end_pos AS e2, least(a.end_pos, b.end_pos) - greatest(a.start_pos, b.start_pos) AS size
+ FROM ivl a JOIN ivl b ON a.grp = b.grp AND a.read_id < b.read_id AND a.start_pos < b.end_pos AND b.start_pos < a.end_pos AND a.start_pos < a.end_pos AND b.start_pos < b.end_pos)"""
+BIN = 3600
+
+# ---- encoding
+
+
+@query(f"WITH {ORIENTED} SELECT read_id, read_name, read_orientation, md5(sequence) AS sequence_md5, length(sequence)::BIGINT AS n_chars, read_id ^ 1 AS unused FROM oriented".replace(", read_id ^ 1 AS unused", ", xor(read_id, 1) AS sibling_id"))
+def revcomp_orient(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_id", "read_name", "read_orientation", F.md5("sequence").alias("sequence_md5"), F.length("sequence").cast("long").alias("n_chars"), S.sibling(F.col("read_id")).alias("sibling_id"))
+
+
+@query(f"WITH {FORWARD}, {kmer_sql('fwd', 8)} SELECT read_id, count(*) AS n_kmers, count(DISTINCT kmer) AS n_distinct FROM kmers GROUP BY 1")
+def kmer_count(spark, sf_dir):
+    return E.kmers(forward(spark, sf_dir), 8).groupBy("read_id").agg(F.count(F.lit(1)).alias("n_kmers"), F.count_distinct("kmer").alias("n_distinct"))
+
+
+@query(f"WITH {FORWARD}, {kmer_sql('fwd', 8)}, c AS (SELECT kmer, count(*) AS cnt FROM kmers GROUP BY 1) SELECT cnt AS multiplicity, count(*) AS n_kmers FROM c WHERE cnt <= 10 GROUP BY 1")
+def kmer_spectrum(spark, sf_dir):
+    return E.spectrum(E.kmers(forward(spark, sf_dir), 8).groupBy("kmer").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+@query(f"""WITH {ORIENTED}, {kmer_sql('oriented', 12)}, h AS (SELECT read_id, {hash_sql('kmer', 562104830)} AS feature_id FROM kmers),
+c AS (SELECT read_id, feature_id, count(*) AS cnt FROM h WHERE feature_id <= {int(0.05 * S.HASH_RANGE)} GROUP BY 1, 2)
+SELECT read_id, feature_id, cnt FROM c WHERE feature_id IN (SELECT feature_id FROM c GROUP BY 1 HAVING sum(cnt) >= 2)""")
+def hash_kmer_features(spark, sf_dir):
+    return E.hashed_kmers(reads(spark, sf_dir), 12, 0.05, 562104830, 2)
+
+
+VOCAB = f"vocab AS (SELECT kmer, count(*) AS cnt FROM kmers GROUP BY 1 HAVING count(*) >= 3 AND {hash_sql('kmer', 7)} <= {int(0.1 * S.HASH_RANGE)})"
+
+
+def _vocab(spark, sf_dir):
+    return E.vocabulary(forward(spark, sf_dir), 9, 0.1, 7, 3)
+
+
+@query(f"WITH {FORWARD}, {kmer_sql('fwd', 9)}, {VOCAB} SELECT kmer, cnt FROM vocab")
+def vocab_sampled(spark, sf_dir):
+    return _vocab(spark, sf_dir)
+
+
+@query(f"WITH {FORWARD}, {kmer_sql('fwd', 9)}, {VOCAB} SELECT kmer FROM vocab UNION SELECT {REVCOMP.format('kmer')} FROM vocab")
+def vocab_revcomp_closed(spark, sf_dir):
+    return E.closed_vocabulary(_vocab(spark, sf_dir))
+
+
+@query(f"WITH {FORWARD}, {kmer_sql('fwd', 9)}, {VOCAB} SELECT read_id, kmer, count(*) AS cnt FROM kmers WHERE kmer IN (SELECT kmer FROM vocab) GROUP BY 1, 2")
+def vocab_count_matrix(spark, sf_dir):
+    return E.count_matrix(forward(spark, sf_dir), _vocab(spark, sf_dir), 9)
+
+
+@query(f"WITH {FORWARD}, {kmer_sql('fwd', 9)}, {VOCAB} SELECT read_id, count(*) AS n_tokens, md5(string_agg(kmer, chr(31) ORDER BY pos)) AS tokens_md5 FROM kmers WHERE kmer IN (SELECT kmer FROM vocab) GROUP BY 1")
+def vocab_token_lists(spark, sf_dir):
+    lists = E.token_lists(forward(spark, sf_dir), _vocab(spark, sf_dir), 9)
+    return lists.select("read_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.concat_ws("\x1f", "tokens")).alias("tokens_md5"))
+
+
+@query(f"""WITH ref AS (SELECT item_id AS read_id, text AS sequence FROM benchmark), rk AS (SELECT DISTINCT substr(sequence, pos + 1, 9) AS kmer FROM (SELECT sequence, unnest(range(0, greatest(length(sequence) - 8, 0))) AS pos FROM ref)),
+{FORWARD}, {kmer_sql('fwd', 9)} SELECT read_id, kmer, count(*) AS cnt FROM kmers WHERE kmer IN (SELECT kmer FROM rk) GROUP BY 1, 2""")
+def reference_vocabulary_encoding(spark, sf_dir):
+    ref = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read_id"), F.col("text").alias("sequence"))
+    return E.count_matrix(forward(spark, sf_dir), E.kmers(ref, 9).select("kmer").distinct(), 9)
+
+
+def minimizer_sql(tail: str) -> str:
+    return f"""WITH {FORWARD}, {kmer_sql('fwd', 8)}, h AS (SELECT *, {hash_sql('kmer', 51261)} AS h FROM kmers),
+m AS (SELECT read_id, pos, min(row(h, pos, kmer)) OVER (PARTITION BY read_id ORDER BY pos ROWS 9 PRECEDING) AS m FROM h),
+l AS (SELECT read_id, pos, m[2] AS mp, m[3] AS kmer, lag(m[2]) OVER (PARTITION BY read_id ORDER BY pos) AS was FROM m WHERE pos >= 9) {tail}"""
+
+
+@query(minimizer_sql("SELECT read_id, kmer, count(*) AS cnt FROM l WHERE was IS NULL OR was <> mp GROUP BY 1, 2"))
+def minimizer_features(spark, sf_dir):
+    return E.minimizers(forward(spark, sf_dir), 8, 10, 51261)
+
+
+@query(minimizer_sql(", c AS (SELECT read_id, kmer, count(*) AS cnt FROM l WHERE was IS NULL OR was <> mp GROUP BY 1, 2) SELECT read_id, kmer AS feature_id, cnt FROM c WHERE kmer IN (SELECT kmer FROM c GROUP BY 1 HAVING count(DISTINCT read_id) >= 3)"))
+def minimizer_matrix(spark, sf_dir):
+    found = E.minimizers(forward(spark, sf_dir), 8, 10, 51261).withColumnRenamed("kmer", "feature_id")
+    return E.with_document_frequency(found, 3)
+
+
+@query(minimizer_sql("SELECT read_id, kmer, count(*) AS cnt FROM l GROUP BY 1, 2"))
+def minimizer_all_windows(spark, sf_dir):
+    return E.minimizers(forward(spark, sf_dir), 8, 10, 51261, every_window=True)
+
+
+@query("SELECT doc_id AS read_id, length(text)::BIGINT AS n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def aligned_reads_restriction(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return table(spark, sf_dir, "documents").join(good, "doc_id", "left_semi").select(F.col("doc_id").alias("read_id"), F.length("text").cast("long").alias("n_chars"))
+
+
+# ---- weights
+
+N_DF = "n AS (SELECT count(DISTINCT read_id)::DOUBLE AS n FROM feat), df AS (SELECT feature_id, count(DISTINCT read_id) AS df FROM feat GROUP BY 1)"
+_WEIGHT_SQL = {
+    "count": "SELECT read_id, feature_id, cnt::DOUBLE AS weight FROM feat",
+    "binary": "SELECT read_id, feature_id, CASE WHEN cnt > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM feat",
+    "tf": "SELECT read_id, feature_id, round(cnt / sum(cnt) OVER (PARTITION BY read_id), 6) + 0.0 AS weight FROM feat",
+    "idf": "SELECT read_id, feature_id, round(ln(n / (df + 1e-12)), 6) + 0.0 AS weight FROM feat JOIN df USING (feature_id), n",
+    "tfidf": "SELECT read_id, feature_id, round(cnt / sum(cnt) OVER (PARTITION BY read_id) * ln(n / (df + 1e-12)), 6) + 0.0 AS weight FROM feat JOIN df USING (feature_id), n",
+    "smooth_idf": "SELECT read_id, feature_id, round(ln((n + 1) / (df + 1)) + 1, 6) + 0.0 AS weight FROM feat JOIN df USING (feature_id), n",
+}
+
+
+def _weight_query(method: str):
+    def run(spark, sf_dir):
+        return W.weighted(order_parts(spark, sf_dir), method).withColumn("weight", S.rounded(F.col("weight")))
+
+    run.__name__ = f"weight_{method}"
+    query(f"WITH {FEATURES}, {N_DF} {_WEIGHT_SQL[method]}")(run)
+
+
+for _m in W.NAMES:
+    _weight_query(_m)
+
+
+@query(f"""WITH {FEATURES}, ref AS (SELECT * FROM feat WHERE read_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')), que AS (SELECT * FROM feat WHERE read_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')),
+n AS (SELECT count(DISTINCT read_id)::DOUBLE AS n FROM ref), df AS (SELECT feature_id, count(DISTINCT read_id) AS df FROM ref GROUP BY 1),
+raw AS (SELECT read_id, feature_id, cnt * (ln((n + 1) / (df + 1)) + 1) AS w FROM que JOIN df USING (feature_id), n)
+SELECT read_id, feature_id, round(w / sqrt(sum(w * w) OVER (PARTITION BY read_id)), 6) + 0.0 AS weight FROM raw""")
+def weight_fitted_tfidf(spark, sf_dir):
+    base, orders = order_parts(spark, sf_dir), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), "o_orderstatus")
+    ref = base.join(orders.where("o_orderstatus = 'F'"), "read_id", "left_semi")
+    que = base.join(orders.where("o_orderstatus <> 'F'"), "read_id", "left_semi")
+    return W.fitted_tfidf(ref, que).withColumn("weight", S.rounded(F.col("weight")))
+
+
+# ---- neighbours
+
+
+def topk_sql(scored: str, k: int, way: str = "DESC", score: str = "score") -> str:
+    return f"SELECT read_id, rank::INT AS rank, neighbor_id, {score} FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY {score} {way}, neighbor_id) AS rank FROM ({scored})) WHERE rank <= {k}"
+
+
+SPARSE = """p AS (SELECT a.read_id, b.read_id AS neighbor_id, sum({value}) AS s FROM w a JOIN w b ON a.feature_id = b.feature_id AND a.read_id <> b.read_id GROUP BY 1, 2),
+t AS (SELECT read_id, sum({total}) AS t FROM w GROUP BY 1), j AS (SELECT p.*, x.t AS ta, y.t AS tb FROM p JOIN t x ON x.read_id = p.read_id JOIN t y ON y.read_id = p.neighbor_id)"""
+DOT = SPARSE.format(value="a.weight * b.weight", total="weight * weight")
+MIN = SPARSE.format(value="least(a.weight, b.weight)", total="weight")
+WORD_IDF = f"{WORDS}, dfw AS (SELECT feature_id, count(*) AS df FROM rare GROUP BY 1), w AS (SELECT read_id, feature_id, ln((SELECT count(DISTINCT read_id)::DOUBLE FROM rare) / (df + 1e-12)) AS weight FROM rare JOIN dfw USING (feature_id))"
+COS = "SELECT read_id, neighbor_id, round(s / (sqrt(ta) * sqrt(tb)), 6) + 0.0 AS score FROM j"
+
+
+@query(f"WITH {WORD_IDF}, {DOT} {topk_sql(COS, 5)}")
+def sparse_cosine_topk(spark, sf_dir):
+    return N.sparse_topk(W.weighted(rare_words(spark, sf_dir), "idf"), 5)
+
+
+PART_W = f"{FEATURES}, w AS (SELECT read_id, feature_id, cnt::DOUBLE AS weight FROM feat)"
+
+
+@query(f"WITH {PART_W}, {DOT} {topk_sql('SELECT read_id, neighbor_id, round(sqrt(greatest(ta + tb - 2 * s, 0.0)), 6) + 0.0 AS score FROM j', 5, 'ASC')}")
+def sparse_euclidean_topk(spark, sf_dir):
+    return N.sparse_topk(W.weighted(order_parts(spark, sf_dir), "count"), 5, "euclidean")
+
+
+@query(f"WITH {FEATURES}, w AS (SELECT read_id, feature_id, 1.0::DOUBLE AS weight FROM feat), {MIN} {topk_sql('SELECT read_id, neighbor_id, round(s / (ta + tb - s), 6) + 0.0 AS score FROM j', 5)}")
+def jaccard_topk(spark, sf_dir):
+    return N.sparse_topk(W.weighted(order_parts(spark, sf_dir), "count"), 5, "jaccard")
+
+
+@query(f"WITH {PART_W}, {MIN} {topk_sql('SELECT read_id, neighbor_id, round(s / (ta + tb - s), 6) + 0.0 AS score FROM j', 5)}")
+def generalized_jaccard_topk(spark, sf_dir):
+    return N.sparse_topk(W.weighted(order_parts(spark, sf_dir), "count"), 5, "generalized_jaccard")
+
+
+DENSE_COS = "SELECT a.read_id, b.read_id AS neighbor_id, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS score FROM vec a JOIN vec b ON a.read_id <> b.read_id"
+KNN = f"{VEC}, knn AS ({topk_sql(DENSE_COS, 20)})"
+
+
+@query(f"WITH {VEC} {topk_sql(DENSE_COS, 10)}")
+def dense_cosine_topk(spark, sf_dir):
+    return N.dense_topk(vectors(spark, sf_dir), 10)
+
+
+@query(f"WITH {VEC} {topk_sql('SELECT a.read_id, b.read_id AS neighbor_id, round(list_distance(a.v, b.v), 6) + 0.0 AS score FROM vec a JOIN vec b ON a.read_id <> b.read_id', 10, 'ASC')}")
+def dense_euclidean_topk(spark, sf_dir):
+    return N.dense_topk(vectors(spark, sf_dir), 10, "euclidean")
+
+
+@query(f"WITH {VEC} {topk_sql('SELECT a.read_id, b.read_id AS neighbor_id, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS score FROM (SELECT * FROM vec WHERE label < 2) a, (SELECT * FROM vec WHERE label >= 2) b', 6)}")
+def query_to_reference_knn(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("read_id"), F.col("embedding").alias("vector"), "label")
+    return N.dense_topk(rows.where("label < 2"), 6, reference=rows.where("label >= 2"))
+
+
+@query(f"""WITH {KNN}, d AS (SELECT read_id, neighbor_id, round(1 - score, 6) + 0.0 AS distance FROM knn WHERE rank <= 8),
+u AS (SELECT read_id, neighbor_id, distance, 0 AS prio FROM d UNION ALL SELECT xor(read_id, 1), xor(neighbor_id, 1), distance, 1 FROM d),
+o AS (SELECT read_id, neighbor_id, min(row(prio, distance))[2] AS distance FROM u GROUP BY 1, 2) {topk_sql('SELECT * FROM o', 8, 'ASC', 'distance')}""")
+def sibling_merge_topk(spark, sf_dir):
+    found = N.dense_topk(vectors(spark, sf_dir), 8).select("read_id", "neighbor_id", S.rounded(1 - F.col("score")).alias("distance"))
+    return N.sibling_merge(found, 8)
+
+
+@query(f"""WITH {PART_W}, c AS (SELECT read_id, p, {', '.join(f"sum(CASE WHEN (h & {1 << b}) <> 0 THEN weight ELSE -weight END) AS b{b}" for b in range(32))}
+ FROM (SELECT read_id, weight, p, ('0x' || substr(md5('11.' || p || ':' || feature_id), 1, 15))::BIGINT AS h FROM w, range(0, 4) r(p)) GROUP BY 1, 2),
+k AS (SELECT read_id, list(bits ORDER BY p) AS sk FROM (SELECT read_id, p, {' + '.join(f"CASE WHEN b{b} > 0 THEN {1 << b}::BIGINT ELSE 0 END" for b in range(32))} AS bits FROM c) GROUP BY 1)
+SELECT read_id, sk[1] AS s0, sk[2] AS s1, sk[3] AS s2, sk[4] AS s3 FROM k""")
+def simhash_sketches(spark, sf_dir):
+    made = N.simhash_bits(W.weighted(order_parts(spark, sf_dir), "count"), 2, 11)
+    return made.select("read_id", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(4)])
+
+
+
+@query(f"""WITH vec AS (SELECT vec_id AS read_id, embedding AS v FROM embeddings), b AS (SELECT read_id, {' + '.join(f"(CASE WHEN v[{i + 1}] > 0 THEN {1 << i}::BIGINT ELSE 0 END)" for i in range(32))} AS lo,
+ {' + '.join(f"(CASE WHEN v[{i + 33}] > 0 THEN {1 << i}::BIGINT ELSE 0 END)" for i in range(32))} AS hi FROM vec)
+{topk_sql('SELECT a.read_id, b.read_id AS neighbor_id, (bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)))::BIGINT AS distance FROM b a JOIN b b ON a.read_id <> b.read_id', 10, 'ASC', 'distance')}""")
+def simhash_hamming_topk(spark, sf_dir):
+    sign = lambda i, first: F.when(F.get("vector", F.lit(first + i)) > 0, F.lit(1 << i)).otherwise(F.lit(0))
+    half = lambda first: sum((sign(i, first) for i in range(32)), F.lit(0).cast("long"))
+    return N.hamming_topk(vectors(spark, sf_dir).select("read_id", F.array(half(0), half(32)).alias("sketch")), 10)
+
+
+def lowhash_sql(value: str) -> str:
+    return f"""lh AS (SELECT read_id, repeat, feature_id FROM (SELECT *, row_number() OVER (PARTITION BY read_id, repeat ORDER BY value, feature_id) AS n FROM (SELECT *, {value} AS value FROM w, range(0, 6) r(repeat))) WHERE n <= 2),
+fine AS (SELECT repeat, feature_id FROM lh GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 40), lf AS (SELECT lh.* FROM lh JOIN fine USING (repeat, feature_id))
+{topk_sql('SELECT a.read_id, b.read_id AS neighbor_id, count(*) AS score FROM lf a JOIN lf b USING (repeat, feature_id) WHERE a.read_id <> b.read_id GROUP BY 1, 2', 5)}"""
+
+
+_LKEY = "'458:' || repeat || ':' || feature_id"
+
+
+@query(f"WITH {PART_W}, {lowhash_sql(hash_sql(_LKEY, ''))}")
+def lowhash_neighbors(spark, sf_dir):
+    buckets = N.lowhash(W.weighted(order_parts(spark, sf_dir), "count"), 6, 2, 458)
+    return N.bucket_neighbors(buckets, 5, 2, 40)
+
+
+_U = {s: uniform_sql(_LKEY, s) for s in ("u1", "u2", "beta", "x")}
+_GAMMA = f"(-ln(({_U['u1']}) * ({_U['u2']})))"
+
+
+@query(f"WITH {PART_W}, " + lowhash_sql(f"round(-ln({_U['x']}) / (exp({_GAMMA} * (floor(ln(weight) / {_GAMMA} + {_U['beta']}) - ({_U['beta']}))) / ({_U['u1']})), 9) + 0.0"))
+def weighted_lowhash(spark, sf_dir):
+    buckets = N.lowhash(W.weighted(order_parts(spark, sf_dir), "count"), 6, 2, 458, weighted=True)
+    return N.bucket_neighbors(buckets, 5, 2, 40)
+
+
+@query()
+def lsh_topk(spark, sf_dir):
+    return N.lsh_topk(vectors(spark, sf_dir), 10, distance=1.3)
+
+
+@query()
+def pq_topk(spark, sf_dir):
+    return N.pq_topk(vectors(spark, sf_dir), 10)
+
+
+@query()
+def ivfpq_topk(spark, sf_dir):
+    return N.pq_topk(vectors(spark, sf_dir), 10, lists=16, probes=8)
+
+
+@query()
+def rp_forest_topk(spark, sf_dir):
+    return N.rp_forest_topk(vectors(spark, sf_dir), 10)
+
+
+@query()
+def nn_descent(spark, sf_dir):
+    return N.nn_descent(vectors(spark, sf_dir), 10, rounds=2)
+
+
+# ---- reduction
+
+
+def cells_sql(extra: str, dims: int, seed: int) -> str:
+    key = "feature_id || ':' || dim"
+    return f"cell AS (SELECT * FROM (SELECT feature_id, dim, {hash_sql(key, seed)} AS h FROM (SELECT DISTINCT feature_id FROM w), range(0, {dims}) r(dim)) {extra})"
+
+
+_DENSITY = 2 / 88
+_SCALE = (1.0 / _DENSITY / 64) ** 0.5
+
+
+@query(f"WITH {PART_W}, {cells_sql(f'WHERE h <= {int(_DENSITY * S.HASH_RANGE)}', 64, 521022)} SELECT read_id, dim::INT AS dim, round(sum(weight * CASE WHEN h % 2 = 0 THEN 1.0 ELSE -1.0 END) * {_SCALE!r}::DOUBLE, 6) + 0.0 AS value FROM w JOIN cell USING (feature_id) GROUP BY 1, 2")
+def hashed_srp(spark, sf_dir):
+    return D.hashed_projection(W.weighted(order_parts(spark, sf_dir), "count"), 64, _DENSITY, 521022).withColumn("value", S.rounded(F.col("value")))
+
+
+@query(f"WITH {PART_W}, {cells_sql('', 16, 20141025)} SELECT read_id, dim::INT AS dim, round(sum(weight * CASE WHEN h % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END), 6) + 0.0 AS value FROM w JOIN cell USING (feature_id) GROUP BY 1, 2")
+def simhash_projection(spark, sf_dir):
+    return D.sign_projection(W.weighted(order_parts(spark, sf_dir), "count"), 16, 20141025).withColumn("value", S.rounded(F.col("value")))
+
+
+@query(f"WITH {FEATURES}, u AS (SELECT DISTINCT feature_id FROM feat), c AS (SELECT feature_id FROM u ORDER BY {hash_sql('feature_id', 455390)}, feature_id LIMIT (SELECT count(*) // 64 * 64 FROM u)) SELECT read_id, feature_id, cnt FROM feat WHERE feature_id IN (SELECT feature_id FROM c)")
+def feature_subsample(spark, sf_dir):
+    return D.feature_subsample(order_parts(spark, sf_dir), 64, 455390)
+
+
+@query()
+def gaussian_rp(spark, sf_dir):
+    return D.gaussian_projection(vectors(spark, sf_dir), 64, 16)
+
+
+@query()
+def pca(spark, sf_dir):
+    return D.pca(vectors(spark, sf_dir), 8)
+
+
+@query()
+def truncated_svd(spark, sf_dir):
+    return D.truncated_svd(vectors(spark, sf_dir), 8)
+
+
+@query()
+def spectral_embedding(spark, sf_dir):
+    return D.spectral_embedding(vectors(spark, sf_dir).withColumn("vector", F.transform("vector", lambda x: F.abs(x))), 8)
+
+
+@query()
+def bipartite_map(spark, sf_dir):
+    return D.bipartite_map(vectors(spark, sf_dir).withColumn("vector", F.transform("vector", lambda x: F.abs(x))), 8)
+
+
+# ---- alignment records
+
+_PAF_OUT = "query_name, target_name, line_no"
+
+
+@query(f"WITH {ALN} SELECT {_PAF_OUT} FROM aln WHERE query_length >= 5000 AND num_matching_bases / query_length >= 0.5 AND mapping_quality >= 30")
+def paf_filter(spark, sf_dir):
+    return R.long_good_mapped(alignments(spark, sf_dir)).select(*_PAF_OUT.split(", "))
+
+
+@query(f"WITH {ALN} SELECT {_PAF_OUT} FROM aln WHERE target_name = 'r100' AND target_start < 9000 AND target_end > 2000")
+def paf_region_overlap(spark, sf_dir):
+    return R.region_overlap(alignments(spark, sf_dir), "r100", 2000, 9000).select(*_PAF_OUT.split(", "))
+
+
+@query(f"WITH {ALN} SELECT {_PAF_OUT} FROM aln WHERE target_name = 'r200' AND target_start > 1000 AND target_end < 9000")
+def paf_region_containment(spark, sf_dir):
+    return R.region_containment(alignments(spark, sf_dir), "r200", 1000, 9000, suffix="").select(*_PAF_OUT.split(", "))
+
+
+@query(f"WITH {ALN} SELECT {_PAF_OUT} FROM aln WHERE num_matching_bases >= 50 AND num_matching_bases / alignment_block_length >= 0.1")
+def overlap_quality(spark, sf_dir):
+    return R.good_overlaps(alignments(spark, sf_dir)).select(*_PAF_OUT.split(", "))
+
+
+@query(f"WITH {ALN} SELECT query_name, target_name, num_matching_bases FROM (SELECT *, row_number() OVER (PARTITION BY query_name ORDER BY num_matching_bases DESC, line_no) AS n FROM aln) WHERE n = 1")
+def best_alignment_per_read(spark, sf_dir):
+    return R.best_per_key(alignments(spark, sf_dir), "query_name", F.col("num_matching_bases"), "line_no").select("query_name", "target_name", "num_matching_bases")
+
+
+def _bam(spark, sf_dir):
+    rows = alignments(spark, sf_dir)
+    return rows.select("query_name", "line_no", F.col("num_matching_bases").alias("query_alignment_length"), (F.col("mapping_quality") * 10).alias("mismatch"), F.col("query_length"))
+
+
+_BAM = "bam AS (SELECT query_name, line_no, num_matching_bases AS query_alignment_length, mapping_quality * 10 AS mismatch, query_length, (num_matching_bases - mapping_quality * 10) / query_length AS idy FROM aln)"
+
+
+@query(f"WITH {ALN}, {_BAM} SELECT query_name, line_no, round(idy, 6) + 0.0 AS identity FROM (SELECT *, row_number() OVER (PARTITION BY query_name ORDER BY idy DESC, line_no) AS n FROM bam) WHERE n = 1 AND idy >= 0.15")
+def best_identity_alignment(spark, sf_dir):
+    best = R.best_per_key(_bam(spark, sf_dir), "query_name", R.identity(), "line_no").where(R.identity() >= 0.15)
+    return best.select("query_name", "line_no", S.rounded(R.identity()).alias("identity"))
+
+
+@query(f"WITH {ALN}, {_BAM}, b AS (SELECT query_name, max(idy) AS i, count(*) AS n FROM bam GROUP BY 1) SELECT count(*) AS reads, count_if(i < 0.15)::BIGINT AS rejected, round(count_if(i < 0.15) / count(*), 6) + 0.0 AS reject_share, count_if(i < 0.15 AND n > 1)::BIGINT AS rejected_multiple FROM b")
+def alignment_reject_stats(spark, sf_dir):
+    return R.reject_statistics(_bam(spark, sf_dir), 0.15).withColumn("reject_share", S.rounded(F.col("reject_share")))
+
+
+@query(f"""WITH {ALN}, good AS (SELECT DISTINCT l_orderkey FROM aln WHERE num_matching_bases / query_length >= 0.1)
+SELECT count(*) AS reads, count(good.l_orderkey) AS selected, sum(o_totalprice::BIGINT)::BIGINT AS bases, sum(CASE WHEN good.l_orderkey IS NOT NULL THEN o_totalprice::BIGINT END)::BIGINT AS selected_bases,
+round(100 * count(good.l_orderkey) / count(*), 6) + 0.0 AS selected_percent FROM orders LEFT JOIN good ON o_orderkey = l_orderkey""".replace("o_totalprice::BIGINT", "floor(o_totalprice)::BIGINT"))
+def reads_statistics(spark, sf_dir):
+    good = alignments(spark, sf_dir).where(F.col("num_matching_bases") / F.col("query_length") >= 0.1).select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1).alias("ok")).distinct()
+    length = F.floor("o_totalprice").cast("long")
+    return table(spark, sf_dir, "orders").join(good, "o_orderkey", "left").agg(
+        F.count(F.lit(1)).alias("reads"), F.count("ok").alias("selected"), F.sum(length).alias("bases"), F.sum(F.when(F.col("ok") == 1, length)).alias("selected_bases"),
+        S.rounded(100 * F.count("ok") / F.count(F.lit(1))).alias("selected_percent"),
+    )
+
+
+@query("SELECT lang, source, count(*) AS n_reads, round(avg(length(text)), 6) + 0.0 AS mean_length FROM documents GROUP BY 1, 2")
+def fasta_stats(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_reads"), S.rounded(F.avg(F.length("text"))).alias("mean_length"))
+
+
+@query("SELECT (length(text) // 100)::BIGINT AS bin, count(*) AS n FROM documents GROUP BY 1")
+def length_histogram(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.floor(F.length("text") / 100).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- importers
+
+
+def import_sql(pairs: str, combine: str, k: int = 6, way: str = "DESC", siblings: bool = True, symmetric: bool = True) -> str:
+    ways = [("i", "j")] + ([("j", "i")] if symmetric else [])
+    ways += [(f"xor({a}, 1)", f"xor({b}, 1)") for a, b in list(ways)] if siblings else []
+    both = " UNION ALL ".join(f"SELECT {a} AS read_id, {b} AS neighbor_id, value, line_no, {n} AS way FROM pp" for n, (a, b) in enumerate(ways))
+    value = "sum(value)::BIGINT" if combine == "sum" else "arg_max(value, row(line_no, way))"
+    return f"pp AS ({pairs}), mm AS ({both}), tt AS (SELECT read_id, neighbor_id, {value} AS value FROM mm GROUP BY 1, 2) " + topk_sql("SELECT * FROM tt", k, way, "value")
+
+
+_NAMED = "aln JOIN idx x ON x.name = query_name JOIN idx y ON y.name = target_name"
+
+
+@query(f"WITH {ALN}, " + import_sql(f"SELECT CASE WHEN strand = '-' THEN xor(x.id, 1) ELSE x.id END AS i, y.id AS j, alignment_block_length AS value, line_no FROM {_NAMED} WHERE alignment_block_length >= 1000", "sum"))
+def import_paf(spark, sf_dir):
+    return I.paf(alignments(spark, sf_dir), part_index(spark, sf_dir), 6, 1000)
+
+
+@query(f"WITH {ALN}, " + import_sql("SELECT CASE WHEN strand = '-' THEN xor(l_orderkey * 2, 1) ELSE l_orderkey * 2 END AS i, l_partkey * 2 AS j, alignment_block_length AS value, line_no FROM aln", "sum"))
+def import_paf_by_id(spark, sf_dir):
+    rows = alignments(spark, sf_dir).withColumn("query_name", F.col("l_orderkey").cast("string")).withColumn("target_name", F.col("l_partkey").cast("string"))
+    return I.paf_by_id(rows, 6)
+
+
+_FLAGS = "CASE WHEN strand = '-' THEN xor({0}, 1) ELSE {0} END AS i, CASE WHEN l_returnflag = 'R' THEN xor({1}, 1) ELSE {1} END AS j"
+
+
+@query(f"WITH {ALN}, " + import_sql(f"SELECT {_FLAGS.format('x.id', 'y.id')}, num_matching_bases AS value, line_no FROM {_NAMED} WHERE mapping_quality / 100.0 < 0.5", "last"))
+def import_mhap(spark, sf_dir):
+    rows = alignments(spark, sf_dir).select(F.col("query_name").alias("name1"), F.col("target_name").alias("name2"), (F.col("mapping_quality") / 100.0).alias("error"), F.col("num_matching_bases").alias("shared"),
+                                            F.when(F.col("strand") == "-", "1").otherwise("0").alias("flag1"), F.when(F.col("l_returnflag") == "R", "1").otherwise("0").alias("flag2"), "line_no")
+    return I.mhap(rows, part_index(spark, sf_dir), 6, 0.5)
+
+
+@query(f"WITH {ALN}, " + import_sql(f"SELECT {_FLAGS.format('x.id', 'y.id')}, alignment_block_length AS value, line_no FROM {_NAMED} WHERE num_matching_bases >= 150 AND num_matching_bases / alignment_block_length >= 0.3", "sum"))
+def import_wtdbg2(spark, sf_dir):
+    rows = alignments(spark, sf_dir).select(F.col("query_name").alias("name1"), F.col("strand").alias("strand1"), F.col("target_name").alias("name2"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand2"),
+                                            F.col("num_matching_bases").alias("matches"), F.col("alignment_block_length").alias("length"))
+    return I.wtdbg2(rows, part_index(spark, sf_dir), 6)
+
+
+@query(f"WITH {ALN}, " + import_sql(f"SELECT {_FLAGS.format('l_orderkey * 2', 'l_partkey * 2')}, (mapping_quality + 60)::DOUBLE AS value, line_no FROM aln WHERE mapping_quality + 60 > 75", "last"))
+def import_mecat2(spark, sf_dir):
+    rows = alignments(spark, sf_dir).select(F.col("l_orderkey").alias("id1"), F.col("l_partkey").alias("id2"), (F.col("mapping_quality") + 60).cast("double").alias("identity"),
+                                            F.when(F.col("strand") == "-", "1").otherwise("0").alias("flag1"), F.when(F.col("l_returnflag") == "R", "1").otherwise("0").alias("flag2"), "line_no")
+    return I.mecat2(rows, 6)
+
+
+@query(f"WITH {ALN}, " + import_sql(f"SELECT {_FLAGS.format('x.id', 'y.id')}, (line_no % 10)::INT AS value, line_no FROM {_NAMED}", "last", way="ASC", siblings=False, symmetric=False))
+def import_ranked(spark, sf_dir):
+    rows = alignments(spark, sf_dir).select(F.col("query_name").alias("name1"), F.col("strand").alias("strand1"), F.col("target_name").alias("name2"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand2"),
+                                            (F.col("line_no") % 10).cast("int").alias("rank"), "line_no")
+    return I.ranked_names(rows, part_index(spark, sf_dir), 6)
+
+
+@query(f"WITH {ALN}, " + import_sql("SELECT l_orderkey AS i, l_partkey AS j, (line_no % 10)::INT AS value, line_no FROM aln", "last", way="ASC"))
+def import_ranked_by_id(spark, sf_dir):
+    rows = alignments(spark, sf_dir).select(F.col("l_orderkey").alias("id1"), F.col("l_partkey").alias("id2"), (F.col("line_no") % 10).cast("int").alias("rank"), "line_no")
+    return I.ranked_ids(rows, 6)
+
+
+_META = "meta AS (SELECT p_name || '#' || p_partkey AS read_name, o AS read_orientation, 2 * p_partkey + (CASE WHEN o = '+' THEN 0 ELSE 1 END) AS was, 2 * (100000 - p_partkey) + (CASE WHEN o = '+' THEN 0 ELSE 1 END) AS now FROM part, (SELECT unnest(['+', '-']) AS o))"
+
+
+@query(f"""WITH {ALN}, {_META}, n AS (SELECT l_orderkey AS read_id, l_linenumber AS rank, l_partkey AS neighbor_id FROM lineitem)
+SELECT a.now AS read_id, rank, b.now AS neighbor_id FROM n JOIN meta a ON a.was = read_id JOIN meta b ON b.was = neighbor_id""")
+def remap_ids(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit("#"), "p_partkey").alias("read_name"), "p_partkey", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("read_orientation"))
+    odd = F.when(F.col("read_orientation") == "+", 0).otherwise(1)
+    old = part.select("read_name", "read_orientation", (2 * F.col("p_partkey") + odd).alias("read_id"))
+    new = part.select("read_name", "read_orientation", (2 * (100000 - F.col("p_partkey")) + odd).alias("read_id"))
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("read_id"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("neighbor_id"))
+    return I.remapped(found, old, new)
+
+
+# ---- intervals and graphs
+
+
+@query(f"""WITH {IVL}, {PAIR} SELECT x AS u, y AS v, size AS overlap_size, abs(s1 - s2) AS left_overhang_size, CASE WHEN s2 < s1 THEN y ELSE x END AS left_overhang_node,
+abs(e1 - e2) AS right_overhang_size, CASE WHEN e2 > e1 THEN y ELSE x END AS right_overhang_node, true AS redundant FROM prs""")
+def interval_overlap_edges(spark, sf_dir):
+    return J.overlap_edges(intervals(spark, sf_dir), BIN)
+
+
+_BOTH = "ctr AS (SELECT read_id, neighbor_id, sum(size)::BIGINT AS overlap_size FROM (SELECT x AS read_id, y AS neighbor_id, size FROM prs UNION ALL SELECT y, x, size FROM prs) GROUP BY 1, 2)"
+
+
+@query(f"WITH {IVL}, {PAIR}, {_BOTH} SELECT read_id, neighbor_id, overlap_size FROM ctr")
+def overlap_counters(spark, sf_dir):
+    return J.overlap_counters(intervals(spark, sf_dir), BIN)
+
+
+@query(f"WITH {IVL}, {PAIR}, {_BOTH} SELECT read_id, neighbor_id, overlap_size, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY overlap_size DESC, neighbor_id) AS rank FROM ctr WHERE overlap_size > 60) WHERE rank <= 6")
+def interval_top_n(spark, sf_dir):
+    return J.top_overlaps(intervals(spark, sf_dir), BIN, 6, 60)
+
+
+@query(f"""WITH {IVL}, {PAIR}, c AS (SELECT x AS read_id, y AS parent FROM prs WHERE s2 < s1 AND e1 < e2 UNION ALL SELECT y, x FROM prs WHERE s1 < s2 AND e2 < e1)
+SELECT read_id, min(parent) AS parent FROM c GROUP BY 1 HAVING count(DISTINCT parent) = 1""")
+def interval_contained(spark, sf_dir):
+    return J.contained(intervals(spark, sf_dir), BIN)
+
+
+def _truth(spark, sf_dir):
+    """Embeddings of one label overlap, by a hundred times their cosine."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    a, b = rows.select(F.col("vec_id").alias("u"), "label"), rows.select(F.col("vec_id").alias("v"), "label")
+    return a.join(b, "label").where("u < v").select("u", "v", ((F.col("u") * 7 + F.col("v") * 13) % 1000 + 1).alias("overlap_size"))
+
+
+_TRUTH = "tru AS (SELECT a.vec_id AS u, b.vec_id AS v, (a.vec_id * 7 + b.vec_id * 13) % 1000 + 1 AS overlap_size FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"
+_EDGE = "edg AS (SELECT DISTINCT least(read_id, neighbor_id) AS u, greatest(read_id, neighbor_id) AS v FROM knn WHERE rank <= 6)"
+
+
+def _knn(spark, sf_dir, k=20):
+    return N.dense_topk(vectors(spark, sf_dir), k)
+
+
+@query(f"WITH {KNN}, {_TRUTH}, {_EDGE} SELECT u, v, EXISTS (SELECT 1 FROM tru WHERE tru.u = edg.u AND tru.v = edg.v) AS is_true FROM edg")
+def semi_anti_edges(spark, sf_dir):
+    found, truth = G.edges(G.candidates(_knn(spark, sf_dir, 6), 6)), _truth(spark, sf_dir)
+    return G.true_edges(found, truth).withColumn("is_true", F.lit(True)).unionByName(G.false_edges(found, truth).withColumn("is_true", F.lit(False)))
+
+
+@query(f"WITH {KNN}, {_TRUTH}, {_EDGE}, m AS (SELECT least(read_id, neighbor_id) AS u, greatest(read_id, neighbor_id) AS v FROM knn WHERE rank <= 6 GROUP BY 1, 2 HAVING count(*) = 2) SELECT u, v, 'intersect' AS op FROM (SELECT u, v FROM edg INTERSECT SELECT u, v FROM tru) UNION ALL SELECT u, v, 'except' FROM (SELECT u, v FROM edg EXCEPT SELECT u, v FROM m)")
+def edge_set_ops(spark, sf_dir):
+    found = G.candidates(_knn(spark, sf_dir, 6), 6)
+    whole, mutual = G.edges(found), G.edges(found, mutual=True)
+    return whole.intersect(_truth(spark, sf_dir).select("u", "v")).withColumn("op", F.lit("intersect")).unionByName(whole.exceptAll(mutual).withColumn("op", F.lit("except")))
+
+
+@query(f"WITH {KNN} SELECT least(read_id, neighbor_id) AS u, greatest(read_id, neighbor_id) AS v FROM knn WHERE rank <= 6 GROUP BY 1, 2 HAVING count(*) = 2")
+def mutual_edges(spark, sf_dir):
+    return G.edges(_knn(spark, sf_dir, 6), mutual=True)
+
+
+@query(f"WITH {KNN}, {_TRUTH}, {_EDGE} SELECT u, v, coalesce(overlap_size, 0) AS overlap_size FROM edg LEFT JOIN tru USING (u, v)")
+def edge_overlap_lookup(spark, sf_dir):
+    return G.with_overlap(G.edges(_knn(spark, sf_dir, 6)), _truth(spark, sf_dir))
+
+
+@query(f"WITH {KNN}, {_TRUTH}, {_EDGE} SELECT u, v, CASE WHEN tru.u IS NULL THEN 'false' WHEN overlap_size > 500 THEN 'redundant' ELSE 'normal' END AS edge_class FROM edg LEFT JOIN tru USING (u, v)".replace("tru.u IS NULL", "overlap_size IS NULL"))
+def edge_classes(spark, sf_dir):
+    return G.edge_classes(G.edges(_knn(spark, sf_dir, 6)), _truth(spark, sf_dir).withColumn("redundant", F.col("overlap_size") > 500))
+
+
+_CLOSE = f"{VEC}, e AS (SELECT a.read_id AS u, b.read_id AS v FROM vec a JOIN vec b ON a.read_id < b.read_id WHERE round(list_cosine_similarity(a.v, b.v), 6) > 0.33)"
+_COMP = f"{_CLOSE}, d AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), reach AS (SELECT u AS node, u AS seen FROM d UNION SELECT r.node, d.v FROM reach r JOIN d ON d.u = r.seen), cc AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1)"
+
+
+def _close(spark, sf_dir):
+    """Pairs of vectors closer than a threshold; a neighbour list as long as the table is whole."""
+    v = vectors(spark, sf_dir)
+    return N.dense_topk(v, 1 << 30).where("score > 0.33 and read_id < neighbor_id").select(F.col("read_id").alias("u"), F.col("neighbor_id").alias("v"))
+
+
+@query(f"WITH RECURSIVE {_COMP} SELECT node, component FROM cc")
+def connected_components(spark, sf_dir):
+    return C.connected_components(_close(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_COMP}, sz AS (SELECT component, count(*) AS size FROM cc GROUP BY 1), r AS (SELECT size, sum(size) OVER (ORDER BY size DESC, component) AS run FROM sz)
+SELECT (SELECT count(*) FROM sz) AS components, (SELECT sum(size)::BIGINT FROM sz) AS nodes, max(size) AS n50, round(max(size) / ((SELECT sum(size) FROM sz) / 2), 6) + 0.0 AS continuity FROM r WHERE run * 2 >= (SELECT sum(size) FROM sz)""")
+def component_n50(spark, sf_dir):
+    return G.n50(G.component_sizes(_close(spark, sf_dir))).withColumn("continuity", S.rounded(F.col("continuity")))
+
+
+@query(f"WITH {_CLOSE}, g AS (SELECT node, count(*) AS degree FROM (SELECT u AS node FROM e UNION ALL SELECT v FROM e) GROUP BY 1) SELECT (SELECT count(*) FROM embeddings) - count_if(degree > 1)::BIGINT AS singletons, round(((SELECT count(*) FROM embeddings) - count_if(degree > 1)) / (SELECT count(*) FROM embeddings), 6) + 0.0 AS singleton_share FROM g")
+def singleton_stats(spark, sf_dir):
+    n = table(spark, sf_dir, "embeddings").count()
+    return G.degrees(_close(spark, sf_dir)).agg((F.lit(n) - F.count_if(F.expr("degree > 1"))).alias("singletons"), S.rounded((F.lit(n) - F.count_if(F.expr("degree > 1"))) / n).alias("singleton_share"))
+
+
+@query(f"""WITH {VEC}, s AS ({DENSE_COS}), f AS (SELECT * FROM s WHERE score >= 0.1 AND neighbor_id <> xor(read_id, 1)), r AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, neighbor_id) AS n, count(*) OVER (PARTITION BY read_id) AS c FROM f),
+k AS (SELECT read_id, score AS kth FROM r WHERE n = least(6, c)) SELECT f.read_id, f.neighbor_id, f.score FROM f JOIN k USING (read_id) WHERE f.score > kth""")
+def score_threshold_neighbors(spark, sf_dir):
+    return G.above_kth_score(N.dense_topk(vectors(spark, sf_dir), 1 << 30), 6, 0.1)
+
+
+# ---- evaluation
+
+_KS = [1, 2, 4, 6, 8, 10, 12, 14, 16, 18]
+_PERK = f"""ks AS (SELECT unnest({_KS}) AS k), ek AS (SELECT DISTINCT k, least(read_id, neighbor_id) AS u, greatest(read_id, neighbor_id) AS v FROM knn, ks WHERE rank <= k),
+sk AS (SELECT k, u, v, coalesce(overlap_size, 0) AS o FROM ek LEFT JOIN tru USING (u, v)),
+lk AS (SELECT k, count_if(d > 1) AS linked FROM (SELECT k, node, count(*) AS d FROM (SELECT k, u AS node FROM sk WHERE o <> 0 UNION ALL SELECT k, v FROM sk WHERE o <> 0) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(f"""WITH {KNN}, {_TRUTH}, {_PERK} SELECT k::INT AS n_neighbors, count(*) AS edges_num, round(count_if(o <> 0) / count(*), 6) + 0.0 AS precision, round(avg(o), 6) + 0.0 AS overlap_size,
+round(count_if(o <> 0) / (SELECT count(*) FROM tru), 6) + 0.0 AS recall, round(count_if(o >= 500) / (SELECT count(*) FROM tru WHERE overlap_size >= 500), 6) + 0.0 AS filter_recall,
+((SELECT count(*) FROM embeddings) - coalesce(max(linked), 0))::BIGINT AS singleton FROM sk LEFT JOIN lk USING (k) GROUP BY k""")
+def eval_per_k(spark, sf_dir):
+    n = table(spark, sf_dir, "embeddings").count()
+    scores = V.eval_per_k(_knn(spark, sf_dir), _truth(spark, sf_dir), n, _KS)
+    return scores.select("n_neighbors", "edges_num", *[S.rounded(F.col(c)).alias(c) for c in ("precision", "overlap_size", "recall", "filter_recall")], F.col("singleton").cast("long").alias("singleton"))
+
+
+@query(f"WITH RECURSIVE {KNN}, {_TRUTH}, {_EDGE}, g AS (SELECT u, v FROM edg SEMI JOIN tru USING (u, v)), d AS (SELECT u, v FROM g UNION ALL SELECT v, u FROM g), reach AS (SELECT u AS node, u AS seen FROM d UNION SELECT r.node, d.v FROM reach r JOIN d ON d.u = r.seen) SELECT count(DISTINCT c) AS connected_component FROM (SELECT node, min(seen) AS c FROM reach GROUP BY 1)")
+def components_per_k(spark, sf_dir):
+    return V.components_per_k(_knn(spark, sf_dir, 6), _truth(spark, sf_dir), 6)
+
+
+@query(f"""WITH {KNN}, {_TRUTH}, ks AS (SELECT unnest([6, 12, 18]) AS k), p AS (SELECT DISTINCT k, least(read_id, neighbor_id) AS u, greatest(read_id, neighbor_id) AS v FROM knn, ks WHERE rank <= k)
+SELECT k::INT AS n_neighbors, count(*) AS pairs, count(overlap_size) AS tp, round(count(overlap_size) / count(*), 6) + 0.0 AS precision FROM p LEFT JOIN tru USING (u, v) GROUP BY 1""")
+def precision_at(spark, sf_dir):
+    return V.precision_at(_knn(spark, sf_dir), _truth(spark, sf_dir), [6, 12, 18]).withColumn("precision", S.rounded(F.col("precision")))
+
+
+@query(f"WITH {KNN}, {_TRUTH}, t AS (SELECT read_id, count(overlap_size) AS tp FROM knn LEFT JOIN tru ON u = least(read_id, neighbor_id) AND v = greatest(read_id, neighbor_id) GROUP BY 1) SELECT tp, count(*) AS n_reads FROM t GROUP BY 1")
+def tp_histogram(spark, sf_dir):
+    return V.tp_histogram(_knn(spark, sf_dir), _truth(spark, sf_dir), 20)
+
+
+@query(f"""WITH {KNN}, {_TRUTH}, m AS (SELECT read_id, neighbor_id, max(CASE WHEN overlap_size IS NULL THEN 0 ELSE 1 END) AS good FROM (SELECT read_id, neighbor_id, unnest([neighbor_id, xor(neighbor_id, 1)]) AS o FROM knn WHERE rank <= 6) LEFT JOIN tru ON u = least(read_id, o) AND v = greatest(read_id, o) GROUP BY 1, 2)
+SELECT count(*) AS pairs, sum(good)::BIGINT AS tp, round(sum(good) / count(*), 6) + 0.0 AS precision FROM m""")
+def sibling_precision(spark, sf_dir):
+    return V.sibling_precision(_knn(spark, sf_dir, 6), _truth(spark, sf_dir)).withColumn("precision", S.rounded(F.col("precision")))
+
+
+@query(f"""WITH {KNN}, {_TRUTH}, fw AS (SELECT DISTINCT u - u % 2 AS a, v - v % 2 AS b, overlap_size FROM tru WHERE u - u % 2 <> v - v % 2), cc AS (SELECT a AS read_id, b AS neighbor_id, max(overlap_size) AS o FROM (SELECT * FROM fw UNION ALL SELECT b, a, overlap_size FROM fw) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY o DESC, neighbor_id) AS n FROM cc), a AS (SELECT DISTINCT read_id - read_id % 2 AS read_id, neighbor_id - neighbor_id % 2 AS neighbor_id FROM knn WHERE rank <= 6 AND read_id - read_id % 2 <> neighbor_id - neighbor_id % 2)
+SELECT round(count(n) / count(*), 6) + 0.0 AS precision, round(count_if(n <= 6) / count(*), 6) + 0.0 AS k_precision, round(count_if(n <= 6) / (SELECT count(*) FROM r WHERE n <= 6), 6) + 0.0 AS recall FROM a LEFT JOIN r USING (read_id, neighbor_id)""")
+def kprecision(spark, sf_dir):
+    f = lambda c: S.forward_id(F.col(c))
+    fw = _truth(spark, sf_dir).select(f("u").alias("a"), f("v").alias("b"), "overlap_size").where("a <> b")
+    counters = fw.unionByName(fw.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap_size")).groupBy(F.col("a").alias("read_id"), F.col("b").alias("neighbor_id")).agg(F.max("overlap_size").alias("overlap_size"))
+    scores = V.truth_statistics(_knn(spark, sf_dir, 6), counters, 6)
+    return scores.select(*[S.rounded(F.col(c)).alias(c) for c in scores.columns])
+
+
+@query(f"""WITH {KNN}, {_TRUTH}, o AS (SELECT rank, coalesce(overlap_size, 0) AS o FROM knn LEFT JOIN tru ON u = least(read_id, neighbor_id) AND v = greatest(read_id, neighbor_id)), p AS (SELECT rank, count(*) AS n, count_if(o <> 0) AS g, sum(o) AS s FROM o GROUP BY 1)
+SELECT rank, round(sum(g) OVER w / sum(n) OVER w, 6) + 0.0 AS precision, round(sum(s) OVER w / sum(n) OVER w, 6) + 0.0 AS mean_overlap FROM p WINDOW w AS (ORDER BY rank) QUALIFY rank < max(rank) OVER ()""")
+def prefix_metrics(spark, sf_dir):
+    knn = _knn(spark, sf_dir).select("rank", F.least("read_id", "neighbor_id").alias("u"), F.greatest("read_id", "neighbor_id").alias("v"))
+    sized = knn.join(_truth(spark, sf_dir), ["u", "v"], "left").select("rank", F.coalesce("overlap_size", F.lit(0)).alias("overlap_size"))
+    return V.prefix_metrics(sized).select("rank", S.rounded(F.col("precision")).alias("precision"), S.rounded(F.col("mean_overlap")).alias("mean_overlap"))
+
+
+@query(f"""WITH {KNN}, p AS (SELECT k.read_id, a.label AS truth, b.label AS predicted FROM knn k JOIN vec a ON a.read_id = k.read_id JOIN vec b ON b.read_id = k.neighbor_id WHERE rank = 1),
+c AS (SELECT truth AS class, count_if(truth = predicted)::BIGINT AS tp, count_if(truth <> predicted)::BIGINT AS fn FROM p GROUP BY 1), f AS (SELECT predicted AS class, count(*) AS fp FROM p WHERE truth <> predicted GROUP BY 1)
+SELECT class, tp, coalesce(fp, 0) AS fp, fn, round(tp / nullif(tp + coalesce(fp, 0), 0), 6) + 0.0 AS precision, round(tp / nullif(tp + fn, 0), 6) + 0.0 AS sensitivity FROM c LEFT JOIN f USING (class)""")
+def class_precision_sensitivity(spark, sf_dir):
+    label = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    best = _knn(spark, sf_dir, 1).join(label.select(F.col("id").alias("read_id"), F.col("label").alias("truth")), "read_id").join(label.select(F.col("id").alias("neighbor_id"), F.col("label").alias("predicted")), "neighbor_id")
+    return V.class_scores(best).withColumn("precision", S.rounded(F.col("precision"))).withColumn("sensitivity", S.rounded(F.col("sensitivity")))
+
+
+@query(f"WITH {KNN} SELECT k.read_id, k.neighbor_id, n_name AS accession, r_name AS taxon FROM knn k JOIN vec b ON b.read_id = k.neighbor_id LEFT JOIN nation ON n_nationkey = b.label LEFT JOIN region ON r_regionkey = n_regionkey WHERE rank = 1")
+def nearest_taxon(spark, sf_dir):
+    label = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("neighbor_id"), F.col("label").alias("n_nationkey"))
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    named = _knn(spark, sf_dir, 1).join(label, "neighbor_id").join(nation, "n_nationkey", "left").join(region, region["r_regionkey"] == nation["n_regionkey"], "left")
+    return named.select("read_id", "neighbor_id", F.col("n_name").alias("accession"), F.col("r_name").alias("taxon"))
+
+
+# ---- parsing
+
+
+@query("""WITH t AS (SELECT p_partkey, 'd__Bacteria;g__' || split_part(p_name, ' ', 1) || ';s__' || p_name AS taxonomy FROM part), s AS (SELECT p_partkey, nullif(regexp_extract(taxonomy, '^.*s__(\\S+ \\S+)', 1), '') AS species FROM t)
+SELECT p_partkey, species, split_part(species, ' ', 1) AS genus FROM s""")
+def taxonomy_parse(spark, sf_dir):
+    taxonomy = F.concat(F.lit("d__Bacteria;g__"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(";s__"), F.col("p_name"))
+    named = table(spark, sf_dir, "part").select("p_partkey", S.species(taxonomy).alias("species"))
+    return named.withColumn("genus", F.split_part("species", F.lit(" "), F.lit(1)))
+
+
+@query("SELECT c_custkey, CASE WHEN starts_with(a, 'GCA') THEN 'GB_' || a ELSE 'RS_' || a END AS accession FROM (SELECT c_custkey, CASE WHEN c_nationkey < 12 THEN 'GCA_' ELSE 'GCF_' END || c_custkey AS a FROM customer)")
+def accession_prefix(spark, sf_dir):
+    raw = F.concat(F.when(F.col("c_nationkey") < 12, "GCA_").otherwise("GCF_"), F.col("c_custkey").cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", S.accession_prefix(raw).alias("accession"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]+)', 1) AS region, regexp_extract(url, '/([0-9]+)', 1) AS sample FROM pages")
+def path_dimensions(spark, sf_dir):
+    part = lambda p: F.regexp_extract("url", p, 1)
+    return table(spark, sf_dir, "pages").select("page_id", part("^([a-z]+)://").alias("scheme"), part("^[a-z]+://([^/]+)").alias("host"), part("^[a-z]+://[^/]+/([^/?#]+)").alias("region"), part("/([0-9]+)").alias("sample"))
+
+
+@query("SELECT 'log' || s_suppkey AS path, (s_suppkey * 1000)::BIGINT AS mrss, (s_suppkey % 60 + 60 * (s_suppkey % 7))::DOUBLE AS clock_time, (s_suppkey + 0.5 * s_suppkey)::DOUBLE AS cpu_time FROM supplier")
+def time_log_parse(spark, sf_dir):
+    key = F.col("s_suppkey")
+    text = F.format_string("\tUser time (seconds): %d\n\tSystem time (seconds): %.1f\n\tElapsed (wall clock) time (h:mm:ss or m:ss): %d:%02d\n\tMaximum resident set size (kbytes): %d\n", key, key * 0.5, key % 7, key % 60, key * 1000)
+    return R.parse_time_logs(table(spark, sf_dir, "supplier").select(F.concat(F.lit("log"), key).alias("path"), text.alias("text")))
+
+
+# ---- samples, parts and tables
+
+
+@query(f"SELECT doc_id FROM documents ORDER BY {hash_sql('doc_id', 20)} DESC, doc_id LIMIT 100")
+def reservoir_sample(spark, sf_dir):
+    return R.exact_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100, 20)
+
+
+@query("SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey)::INT AS part FROM orders")
+def ntile_split(spark, sf_dir):
+    return D.near_equal_parts(table(spark, sf_dir, "orders").select("o_orderkey"), 7, ["o_orderkey"])
+
+
+@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 2000)::BIGINT AS batch FROM orders")
+def batch_id(spark, sf_dir):
+    return D.dense_number(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"]).select("o_orderkey", F.floor(F.col("number") / 2000).cast("long").alias("batch"))
+
+
+@query("SELECT DISTINCT source || '/' || lang AS name FROM documents WHERE length(text) > 5000")
+def length_filter_names(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(F.length("text") > 5000).select(F.concat("source", F.lit("/"), "lang").alias("name")).distinct().orderBy("name")
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) > 1000 INTERSECT SELECT doc_id FROM labels")
+def name_intersection(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(F.length("text") > 1000).select("doc_id").intersect(table(spark, sf_dir, "labels").select("doc_id"))
+
+
+@query("SELECT p_name AS read_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
+def dup_check(spark, sf_dir):
+    return R.repeated_names(table(spark, sf_dir, "part").select(F.col("p_name").alias("read_name")))
+
+
+@query(f"""WITH {ORIENTED}, info AS (SELECT 'read' || event_id AS read_name, CASE WHEN event_id % 3 = 0 THEN '-' ELSE '+' END AS reference_strand, event_type AS reference_chromosome, event_id * 10 AS reference_start FROM events)
+SELECT read_id, read_name, read_orientation, CASE WHEN read_orientation = '-' THEN translate(reference_strand, '+-', '-+') ELSE reference_strand END AS reference_strand, reference_chromosome, reference_start FROM oriented JOIN info USING (read_name)""")
+def metadata_expand(spark, sf_dir):
+    info = table(spark, sf_dir, "events").select(F.concat(F.lit("read"), "event_id").alias("read_name"), F.when(F.col("event_id") % 3 == 0, "-").otherwise("+").alias("reference_strand"), F.col("event_type").alias("reference_chromosome"), (F.col("event_id") * 10).alias("reference_start"))
+    return R.metadata(reads(spark, sf_dir).drop("sequence"), info).select("read_id", "read_name", "read_orientation", "reference_strand", "reference_chromosome", "reference_start")
+
+
+@query("SELECT 'src3_100_400' AS name, translate(substr(text, 101, 300), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS sequence FROM documents WHERE source = 'src3'")
+def region_slice(spark, sf_dir):
+    return R.region_slice(table(spark, sf_dir, "documents").select(F.col("source").alias("name"), F.col("text").alias("sequence")), "src3", 100, 400)
+
+
+@query("SELECT conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a USING (conv_id) WHERE u.role = 'user' AND a.role = 'assistant' AND a.turn = u.turn + 1")
+def sibling_turns(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    a = rows.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(a, ["conv_id", "turn"])
+
+
+@query("SELECT d.doc_id, coalesce(cast(quality AS VARCHAR), ' ') AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def left_truth(spark, sf_dir):
+    truth = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(truth, "doc_id", "left").fillna(" ", ["quality"])
+
+
+@query("SELECT id, 'document' AS kind, n FROM (SELECT doc_id AS id, length(text)::BIGINT AS n FROM documents) UNION ALL SELECT item_id, 'benchmark', length(text)::BIGINT FROM benchmark UNION ALL SELECT page_id, 'page', length(html)::BIGINT FROM pages")
+def stack_batches(spark, sf_dir):
+    part = lambda name, key, text, kind: table(spark, sf_dir, name).select(F.col(key).alias("id"), F.lit(kind).alias("kind"), F.length(text).cast("long").alias("n"))
+    return part("documents", "doc_id", "text", "document").unionByName(part("benchmark", "item_id", "text", "benchmark")).unionByName(part("pages", "page_id", "html", "page"))
+
+
+@query()
+def weighted_alignment(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("t"))
+    rows = items.select(F.col("l_orderkey").alias("read_id"), F.transform("t", lambda x: x["l_partkey"]).alias("elements"), F.transform("t", lambda x: x["l_quantity"].cast("long")).alias("weights"))
+    pairs = N.sparse_topk(W.weighted(order_parts(spark, sf_dir), "count"), 1).select(F.least("read_id", "neighbor_id").alias("u"), F.greatest("read_id", "neighbor_id").alias("v")).distinct()
+    return A.align_pairs(pairs, rows)
+
+
+_START = uniform_sql("name || ':' || i", "5.start")
+_STRAND = uniform_sql("name || ':' || i", "5.strand")
+
+
+@query(f"""WITH g AS (SELECT 'g' || doc_id AS name, text AS sequence, length(text) AS g FROM documents WHERE length(text) > 100), d AS (SELECT name, g, unnest(range(0, round_even(g * 2.0 / 100, 0)::BIGINT)) AS i FROM g),
+p AS (SELECT DISTINCT name AS genome, floor(({_START}) * (g - 100))::BIGINT AS start_pos, CASE WHEN {_STRAND} < 0.5 THEN '+' ELSE '-' END AS strand FROM d)
+SELECT genome, start_pos, strand, CASE WHEN strand = '+' THEN substr(sequence, start_pos + 1, 100) ELSE {REVCOMP.format('substr(sequence, start_pos + 1, 100)')} END AS sequence FROM p JOIN g ON g.name = genome""")
+def perfect_reads(spark, sf_dir):
+    genome = docs(spark, sf_dir).select(F.concat(F.lit("g"), "doc_id").alias("name"), F.col("text").alias("sequence"))
+    return R.perfect_reads(genome, 100, 2.0, 5)
