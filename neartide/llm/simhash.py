@@ -11,7 +11,6 @@ are one fingerprint, so only distinct fingerprints are compared.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +24,7 @@ from neartide.operators.components import connected_components
 from neartide.plans.storage import materialize
 
 RADIUS = 3
+PARTS = 4
 HOME = 8192  # fingerprints of one tile that are held at once
 
 
@@ -64,17 +64,6 @@ def _offsets(parts: int, radius: int) -> list[tuple[int, ...]]:
     return [o for o in itertools.product(range(-radius, radius + 1), repeat=parts) if sum(map(abs, o)) <= radius]
 
 
-def plan_parts(n: int, radius: int = RADIUS) -> int:
-    """The number of pieces for which copying to neighbour tiles and comparing cost least together, for n fingerprints."""
-
-    def cost(parts: int) -> float:
-        near = len(_offsets(parts, radius))
-        chance = min(1.0, near * math.prod([min(1.0, 0.4 / math.sqrt(2 * 16 / parts))] * parts))
-        return n * (near + 1) / 2 * 1.5e-6 + n * n / 2 * chance * 1e-9
-
-    return min((1, 2, 4), key=cost)
-
-
 def _signature(fp: np.ndarray, parts: int) -> np.ndarray:
     width = 64 // parts
     bits = fp.view(np.uint64)
@@ -109,7 +98,7 @@ class _Tile:
         self.v.append(self.home[least[met]])
         return least
 
-    def compare(self, others: np.ndarray, own: bool = False, a: int = 512, b: int = 2048) -> None:
+    def compare(self, others: np.ndarray, own: bool = False, a: int = 128, b: int = 1024) -> None:
         mine, theirs = self.home.view(np.uint64), others.view(np.uint64)
         for j in range(0, len(theirs), b):
             right = theirs[j : j + b]
@@ -133,14 +122,13 @@ class _Tile:
         return pa.RecordBatch.from_arrays([pa.array(u[apart]), pa.array(v[apart])], names=["u", "v"])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, parts: int | None = None, home: int = HOME) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, home: int = HOME) -> DataFrame:
     """Edges (u, v) that connect exactly the fingerprints joined by steps of at most ``radius`` bits.
 
     ``distinct`` has one row per fingerprint, column fp.  Tiles larger than
     ``home`` are cut into blocks; a block is held in memory, everything that it
     meets streams past it.
     """
-    parts = parts or plan_parts(distinct.count(), radius)
     width, ahead = 64 // parts, [o for o in _offsets(parts, radius) if o > (0,) * parts]
     scale = np.array([(width + 1) ** (parts - 1 - p) for p in range(parts)], np.int64)
 
@@ -233,7 +221,7 @@ def classes(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed: int = 4
     """
     prints = materialize(fingerprints(docs, width, seed), "prints")
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "distinct")
-    found = connected_components(links(least, radius))
+    found = connected_components(materialize(links(least, radius), "links"))
     joined = least.join(found, least.fp == found.node, "left").withColumn("root", F.coalesce("component", "fp"))
     roots = joined.where("component is not null").groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(roots, "root", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id"))
