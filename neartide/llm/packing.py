@@ -13,6 +13,8 @@ are then ranked among those of their length and take the places of that rank.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -27,8 +29,8 @@ from neartide.llm.words import blocks
 from neartide.plans.storage import materialize
 
 CAPACITY = 2048
-MEMO = 400_000  # words of which a worker remembers the ids
-NODES = 40_000  # of the search
+MEMO = 1_000_000  # words of which a worker remembers the ids
+NODES = 4_000  # of the search
 _END = b"\0\0\0\0"
 
 _open: dict = {}
@@ -40,29 +42,71 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class _Encoder:
-    """Ids of whole texts, word by word: the vocabulary never joins across ASCII white space."""
+# words of these characters only are split here; any other word goes through the whole tokenizer
+_PLAIN = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]+")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_ASCII_PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write characters that are not visible ASCII: a visible Latin-1 byte as itself, the n-th other byte as character 256 + n."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    letter = {b: chr(b) for b in visible} | {b: chr(256 + n) for n, b in enumerate(others)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x100) if chr(c) != letter.get(c) or c >= 0x80}
+
+
+class _Encoder(dict):
+    """The ids of words, found as they are asked for: the vocabulary never joins across ASCII white space.
+
+    A word is cut where the tokenizer cuts it, into runs of letters, digits and
+    runs of other signs.  Such a part is a word too and is remembered as one, so
+    that case and punctuation do not make a word new.
+    """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, an id 0 at the end."""
-        split = [(t or b"").split() for t in texts]
-        memo = self.memo
-        new = list({w for own in split for w in own if w not in memo})
-        if len(memo) + len(new) > MEMO:
-            memo = self.memo = {}
-            new = list({w for own in split for w in own})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                memo[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, own)) + _END for own in split]
+        self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # this memory is the cache
+        self.letters = _byte_letters()
+
+    def _merged(self, part: str) -> bytes:
+        tokens = self.model.tokenize(part)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isascii():
+            low = word.lower()
+            if low.isalpha():
+                out = self._merged(low.decode()) if low == word else self[low]
+            elif b"'" in low or b"<|" in low:
+                out = self._whole(word)
+            else:
+                parts = _ASCII_PARTS.findall(low)
+                out = b"".join([self[p] for p in parts]) if len(parts) > 1 else self._merged(low.decode().translate(self.letters))
+        else:
+            text = word.decode()
+            if _PLAIN.fullmatch(text):
+                parts = _PARTS.findall(text.lower())
+                out = b"".join([self[p.encode()] for p in parts]) if len(parts) > 1 else self._merged(parts[0].translate(self.letters))
+            else:
+                out = self._whole(word)
+        self[word] = out
+        return out
+
+    def _whole(self, word: bytes) -> bytes:
+        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, text: bytes | None) -> bytes:
+        """Little-endian unsigned 32-bit ids of a text, an id 0 at the end."""
+        if len(self) > MEMO:
+            self.clear()
+        return b"".join(map(self.__getitem__, (text or b"").split())) + _END
 
 
 def encoder(path: str) -> _Encoder:
@@ -81,7 +125,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in blocks(batches, 1 << 20):
             rows = []
-            for k, data in zip(ids, encoder(path).encode(texts)):
+            encode = encoder(path).encode
+            for k, text in zip(ids, texts):
+                data = encode(text)
                 for n, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append((k, n, at // 4, len(part) // 4, zlib.crc32(part), part) if with_ids else (k, n, at // 4, len(part) // 4, zlib.crc32(part)))
