@@ -23,43 +23,113 @@ def top_k(scored: DataFrame, k: int, ascending: bool = False, score: str = "scor
 
 # ---- sparse, through the inverted index
 
-
-def _pairs(left: DataFrame, right: DataFrame, value: Column, include_self: bool) -> DataFrame:
-    a, b = left.alias("a"), right.alias("b")
-    joined = a.join(b, F.col("a.feature_id") == F.col("b.feature_id"))
-    if not include_self:
-        joined = joined.where(F.col("a.read_id") != F.col("b.read_id"))
-    return joined.groupBy(F.col("a.read_id").alias("read_id"), F.col("b.read_id").alias("neighbor_id")).agg(F.sum(value).alias("s"))
-
-
-def _with_totals(pairs: DataFrame, left: DataFrame, right: DataFrame, total: Column) -> DataFrame:
-    x = left.groupBy("read_id").agg(total.alias("ta"))
-    y = right.groupBy(F.col("read_id").alias("neighbor_id")).agg(total.alias("tb"))
-    return pairs.join(x, "read_id").join(y, "neighbor_id")
-
-
-def sparse_topk(weights: DataFrame, k: int, metric: str = "cosine", reference: DataFrame | None = None, include_self: bool = False, digits: int = 6) -> DataFrame:
-    """Exact neighbours among reads that share a feature, by cosine, euclidean, jaccard or generalized_jaccard.
-
-    ``weights`` is (read_id, feature_id, weight).  Pairs come from the inverted
-    index, so features that very many reads have should be left out before.
+METRICS = ("cosine", "euclidean", "jaccard", "generalized_jaccard")
+
+
+def _rows_of(weights: DataFrame, side: int) -> DataFrame:
+    """One row for each read: the hashes of its features and their weights."""
+    cells = F.sort_array(F.collect_list(F.struct(F.xxhash64("feature_id").alias("f"), F.col("weight").cast("double").alias("w"))))
+    rows = weights.groupBy(F.col("read_id").cast("long").alias("read_id")).agg(cells.alias("c"))
+    return rows.select(F.lit(side).cast("byte").alias("side"), "read_id", F.transform("c", lambda x: x["f"]).alias("f"), F.transform("c", lambda x: x["w"]).alias("w"))
+
+
+class _Inverted:
+    """A block of reads by feature: for each feature the reads that have it."""
+
+    def __init__(self, names: np.ndarray, counts: np.ndarray, features: np.ndarray, weights: np.ndarray, metric: str):
+        order = np.argsort(names, kind="stable")
+        self.names = names[order]
+        place = np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        owner = np.repeat(place, counts)
+        by = np.argsort(features, kind="stable")
+        self.owner, self.weight = owner[by], weights[by]
+        keys, first = np.unique(features[by], return_index=True)
+        self.keys, self.first = keys, np.append(first, len(by))
+        self.total = np.bincount(owner, weights=self._own(weights, metric), minlength=len(names))
+        self.metric = metric
+
+    @staticmethod
+    def _own(weights: np.ndarray, metric: str) -> np.ndarray:
+        return weights * weights if metric in ("cosine", "euclidean") else weights
+
+    def best(self, name: int, features: np.ndarray, weights: np.ndarray, k: int, include_self: bool, digits: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, features), len(self.keys) - 1)
+        shared = np.zeros(len(self.names))
+        met = np.zeros(len(self.names), bool)
+        for i in np.flatnonzero(self.keys[at] == features).tolist():
+            own = slice(self.first[at[i]], self.first[at[i] + 1])
+            who = self.owner[own]
+            shared[who] += weights[i] * self.weight[own] if self.metric in ("cosine", "euclidean") else np.minimum(weights[i], self.weight[own])
+            met[who] = True
+        if not include_self:
+            met[self.names == name] = False
+        found = np.flatnonzero(met)
+        s, b, a = shared[found], self.total[found], self._own(weights, self.metric).sum()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if self.metric == "cosine":
+                score = s / (np.sqrt(a) * np.sqrt(b))
+            elif self.metric == "euclidean":
+                score = np.sqrt(np.maximum(a + b - 2 * s, 0.0))
+            else:
+                score = s / (a + b - s)
+        score = np.round(score, digits) + 0.0
+        pick = np.argsort(score if self.metric == "euclidean" else -score, kind="stable")[:k]
+        return self.names[found[pick]], score[pick]
+
+
+def sparse_topk(weights: DataFrame, k: int, metric: str = "cosine", reference: DataFrame | None = None, include_self: bool = False, digits: int = 6, block: int = 16_384) -> DataFrame:
+    """Exact neighbours among reads that share a feature, by one of METRICS.
+
+    ``weights`` is (read_id, feature_id, weight).  Blocks of the reference are
+    held as inverted indexes and the queries stream past each, so that shared
+    features cost a few machine instructions a pair and never a row.
     """
-    other = weights if reference is None else reference
-    wa, wb = F.col("a.weight"), F.col("b.weight")
-    if metric in ("cosine", "euclidean"):
-        found = _with_totals(_pairs(weights, other, wa * wb, include_self), weights, other, F.sum(F.col("weight") * F.col("weight")))
-        if metric == "cosine":
-            score = F.col("s") / (F.sqrt("ta") * F.sqrt("tb"))
-        else:
-            score = F.sqrt(F.greatest(F.col("ta") + F.col("tb") - 2 * F.col("s"), F.lit(0.0)))
-    elif metric in ("jaccard", "generalized_jaccard"):
-        if metric == "jaccard":
-            weights, other = weights.withColumn("weight", F.lit(1.0)), other.withColumn("weight", F.lit(1.0))
-        found = _with_totals(_pairs(weights, other, F.least(wa, wb), include_self), weights, other, F.sum("weight"))
-        score = F.col("s") / (F.col("ta") + F.col("tb") - F.col("s"))
-    else:
-        raise ValueError(f"unknown metric {metric!r}")
-    return top_k(found.select("read_id", "neighbor_id", rounded(score, digits).alias("score")), k, ascending=metric == "euclidean")
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; one of {', '.join(METRICS)}")
+    if metric == "jaccard":
+        weights = weights.withColumn("weight", F.lit(1.0))
+        reference = reference if reference is None else reference.withColumn("weight", F.lit(1.0))
+    rows = materialize(_rows_of(weights, 1), "sparse")
+    other = rows.withColumn("side", F.lit(0).cast("byte")) if reference is None else materialize(_rows_of(reference, 0), "sparse")
+    blocks = max(1, -(-other.count() // block))
+    # queries are dealt to several tasks for each block, each of which holds the block
+    lanes = max(1, other.sparkSession.sparkContext.defaultParallelism // blocks)
+    held = other.withColumn("block", F.pmod(F.xxhash64("read_id"), F.lit(blocks)).cast("int")).withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    asked = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("lane", F.pmod(F.xxhash64("read_id", F.lit(1)), F.lit(lanes)).cast("int"))
+    names = ["block", "lane", "side", "read_id", "f", "w"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, index = None, [], None
+        for batch in batches:
+            number, lane, side = (np.asarray(batch.column(i)) for i in range(3))
+            change = np.flatnonzero((number[1:] != number[:-1]) | (lane[1:] != lane[:-1]) | (side[1:] != side[:-1])) + 1
+            for i, j in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                if i == j:
+                    continue
+                if (number[i], lane[i]) != key:
+                    key, parts, index = (number[i], lane[i]), [], None
+                name = np.array(batch.column(3).slice(i, j - i))
+                f, w = batch.column(4).slice(i, j - i), batch.column(5).slice(i, j - i)
+                counts = np.asarray(f.value_lengths()).astype(np.int64)
+                features, weight = np.array(f.flatten()), np.array(w.flatten())
+                if side[i] == 0:
+                    parts.append((name, counts, features, weight))
+                    continue
+                if index is None and parts:
+                    index = _Inverted(*(np.concatenate(x) for x in zip(*parts)), metric)
+                if index is None or not len(index.keys):
+                    continue
+                cut = np.concatenate([[0], np.cumsum(counts)])
+                out: list[list[np.ndarray]] = [[], [], []]
+                for n in range(len(name)):
+                    found, score = index.best(name[n], features[cut[n] : cut[n + 1]], weight[cut[n] : cut[n + 1]], k, include_self, digits)
+                    for o, x in zip(out, (np.full(len(found), name[n]), found, score)):
+                        o.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["read_id", "neighbor_id", "score"])
+
+    dealt = held.select(names).unionByName(asked.select(names)).repartition("block", "lane").sortWithinPartitions("block", "lane", "side")
+    return top_k(dealt.mapInArrow(run, "read_id long, neighbor_id long, score double"), k, ascending=metric == "euclidean")
 
 
 # ---- dense, in blocks
