@@ -24,6 +24,7 @@ from neartide.operators import neighbors as N
 from neartide.operators import records as R
 from neartide.operators import reduce as D
 from neartide.operators import weighting as W
+from neartide.plans.storage import materialize
 from neartide.sources.tables import table
 
 ENTRY = "sparse_cosine_topk"
@@ -71,7 +72,9 @@ def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rare_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that at least two and at most a fifth of all documents have."""
     base = docs(spark, sf_dir)
-    return E.with_document_frequency(E.words(base), 2, int(0.2 * base.count()))
+    # read for frequencies, totals and weights: texts are split once
+    counted = materialize(E.words(base), "words")
+    return materialize(E.with_document_frequency(counted, 2, int(0.2 * table(spark, sf_dir, "documents").count())), "rare")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
