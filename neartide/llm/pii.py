@@ -28,6 +28,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 
 SAMPLE = 20_000  # tokens that the weights are fitted to
+SAMPLE_DOCS = 50_000  # documents, about, that these tokens are taken from
 HASHES = 1 << 12
 ROUNDS = 8
 SURE = 0.9
@@ -233,7 +234,10 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if f:
                     skips[i] = marks[last[f]] if f in last else -1
                     last[f] = i
+            known = {form(text[b:e]) for (b, e), m in zip(spots, marks) if m}
             for i, (b, e) in enumerate(spots):
+                if not marks[i] and form(text[b:e]) in known - {""}:
+                    continue  # what the base missed here it found elsewhere: no example of anything else
                 chain = marks[i + 1] if i + 1 < len(spots) and spots[i + 1][0] - e <= 4 else -1
                 rows.append((zlib.crc32(f"{k}:{b}".encode()), marks[i], features(text, b, e), chain, skips[i]))
         if rows:
@@ -242,7 +246,9 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, passes: int = 120) -> Field:
-    """Fits the field to the ``sample`` tokens with the least hash: the unary weights by gradient, the pair weights by their counts."""
+    """Fits the field to the ``sample`` tokens with the least hash of about SAMPLE_DOCS documents, chosen by hash: the unary weights by gradient, the pair weights by their counts."""
+    share = int(min(1.0, SAMPLE_DOCS / max(1, docs.count())) * 1_000_000)
+    docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
     rows = docs.select("doc_id", "text").mapInArrow(_labelled, _SAMPLE).orderBy("pick", "label").limit(sample).collect()
     k = len(LABELS)
     unary = np.zeros((HASHES, k))
@@ -271,7 +277,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, passes: int = 120) -> Field:
         joint = table / table.sum()
         weights.append(np.clip(np.log(joint) - np.log(rate)[:, None] - np.log(rate)[None, :], -3.0, 3.0))
     # a repeated token agrees with itself: its potential never favours two labels
-    weights[1] = np.where(np.eye(k, dtype=bool), np.maximum(weights[1], 1.0), np.minimum(weights[1], -1.0))
+    weights[1] = np.where(np.eye(k, dtype=bool), np.maximum(weights[1], 2.0), np.minimum(weights[1], -2.0))
     return Field(unary, *weights)
 
 
