@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 SEARCHES = ("Exact", "NNDescent", "HNSW", "PQ", "IVFPQ", "SimHash", "MinHash", "RPForest", "LSH")
 METRICS = ("cosine", "euclidean", "jaccard", "generalizedjaccard", "hamming")
-REDUCERS = ("None", "SRP", "mpSRP", "GRP", "PCA", "SVD", "Spectral", "scBiMap", "SimHash")
+REDUCERS = ("None", "SRP", "mpSRP", "GRP", "PCA", "SVD", "Spectral", "scBiMap", "SimHash", "Isomap")
 WEIGHTS = ("count", "binary", "TF", "IDF", "TFIDF")
 
 
@@ -70,11 +70,37 @@ def grid(**values: list) -> list[dict]:
     return [dict(zip(values, row)) for row in itertools.product(*values.values())]
 
 
-def run(spec: PipelineSpec, features: DataFrame, k: int) -> DataFrame:
-    """Weights, reduces and searches sparse features (read_id, feature_id, cnt) as ``spec`` says."""
+def reduced(spec: PipelineSpec, weights: DataFrame) -> DataFrame:
+    """(read_id, vector): the weights reduced as the method says; a read without any non-zero dimension has zeros."""
     from pyspark.sql import functions as F
 
-    from neartide.operators import neighbors, reduce, weighting
+    from neartide.operators import neighbors, reduce, sparse_reduce
+
+    dims, options = spec.dims, spec.reducer_options
+    whole = {"PCA": sparse_reduce.sparse_pca, "SVD": sparse_reduce.sparse_svd, "Spectral": sparse_reduce.sparse_spectral, "scBiMap": sparse_reduce.sparse_bipartite_map}
+    if spec.reducer in whole:
+        return whole[spec.reducer](weights, dims)
+    if spec.reducer == "GRP":
+        return sparse_reduce.gaussian_sketch(weights, dims, options.get("seed", 2094))
+    if spec.reducer == "Isomap":
+        near = neighbors.sparse_topk(weights, options.get("neighbors", 15), "euclidean").withColumnRenamed("score", "distance")
+        found = sparse_reduce.isomap(near, dims, options.get("landmarks", 64))
+    else:
+        if spec.reducer == "SimHash":
+            if dims % 8:
+                raise ValueError("SimHash needs a number of dimensions that 8 divides")
+            cells = reduce.sign_projection(weights, dims, options.get("seed", 20_141_025)).withColumn("value", F.when(F.col("value") > 0, 1.0).otherwise(0.0))
+        else:
+            n_features = weights.select("feature_id").distinct().count()
+            cells = reduce.hashed_projection(weights, dims, density(options, n_features), options.get("seed", 521_022))
+        by_dim = cells.groupBy("read_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
+        found = by_dim.select("read_id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vector"))
+    return sparse_reduce.completed(found, weights, dims)
+
+
+def run(spec: PipelineSpec, features: DataFrame, k: int) -> DataFrame:
+    """Weights, reduces and searches sparse features (read_id, feature_id, cnt) as ``spec`` says."""
+    from neartide.operators import neighbors, weighting
 
     weights = weighting.weighted(features, spec.weight.lower())
     if spec.search == "MinHash":
@@ -85,12 +111,7 @@ def run(spec: PipelineSpec, features: DataFrame, k: int) -> DataFrame:
     if spec.reducer is None:
         metric = {"generalizedjaccard": "generalized_jaccard"}.get(spec.metric, spec.metric)
         return neighbors.sparse_topk(weights, k, metric)
-    n_features = features.select("feature_id").distinct().count()
-    cells = reduce.hashed_projection(weights, spec.dims, density(spec.reducer_options, n_features), spec.reducer_options.get("seed", 521_022))
-    zero = F.array_repeat(F.lit(0.0), spec.dims)
-    by_dim = cells.groupBy("read_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
-    dense = by_dim.select("read_id", F.transform(zero, lambda x, i: F.coalesce(F.element_at("m", i), x)).alias("vector"))
-    dense = {"PCA": reduce.pca, "SVD": reduce.truncated_svd, "Spectral": reduce.spectral_embedding}.get(spec.reducer, lambda d, _: d)(dense, spec.dims)
+    dense = reduced(spec, weights)
     search = {"Exact": lambda d: neighbors.dense_topk(d, k, spec.metric), "RPForest": lambda d: neighbors.rp_forest_topk(d, k), "NNDescent": lambda d: neighbors.nn_descent(d, k),
               "PQ": lambda d: neighbors.pq_topk(d, k), "IVFPQ": lambda d: neighbors.pq_topk(d, k, lists=64, probes=8), "HNSW": lambda d: neighbors.nn_descent(d, k), "LSH": lambda d: neighbors.lsh_topk(d, k)}
     return search[spec.search](dense)

@@ -23,6 +23,7 @@ from neartide.operators import intervals as J
 from neartide.operators import neighbors as N
 from neartide.operators import records as R
 from neartide.operators import reduce as D
+from neartide.operators import sparse_reduce as P
 from neartide.operators import weighting as W
 from neartide.plans.storage import materialize
 from neartide.sources.tables import table
@@ -444,6 +445,41 @@ def bipartite_map(spark, sf_dir):
     return D.bipartite_map(vectors(spark, sf_dir).withColumn("vector", F.transform("vector", lambda x: F.abs(x))), 8)
 
 
+def _order_weights(spark, sf_dir, method="tf"):
+    return W.weighted(order_parts(spark, sf_dir), method)
+
+
+@query()
+def sparse_svd(spark, sf_dir):
+    return P.sparse_svd(_order_weights(spark, sf_dir), 8)
+
+
+@query()
+def sparse_pca(spark, sf_dir):
+    return P.sparse_pca(_order_weights(spark, sf_dir), 8)
+
+
+@query()
+def sparse_spectral(spark, sf_dir):
+    return P.sparse_spectral(_order_weights(spark, sf_dir, "idf"), 8)
+
+
+@query()
+def sparse_bipartite_map(spark, sf_dir):
+    return P.sparse_bipartite_map(_order_weights(spark, sf_dir, "count"), 8)
+
+
+@query()
+def gaussian_sketch(spark, sf_dir):
+    return P.gaussian_sketch(_order_weights(spark, sf_dir), 16)
+
+
+@query()
+def isomap(spark, sf_dir):
+    near = N.dense_topk(vectors(spark, sf_dir), 10, "euclidean").withColumnRenamed("score", "distance")
+    return P.isomap(near, 4)
+
+
 # ---- alignment records
 
 _PAF_OUT = "query_name, target_name, line_no"
