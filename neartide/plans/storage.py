@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -39,6 +40,11 @@ def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Writes ``df`` with a number of its own for each row, column _row, so that rows can be decided on whatever their keys are."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def discard() -> None:
     """Deletes the tables written so far; results that still read them fail."""
     while _written:
