@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from neartide.llm import words
 from neartide.llm.blocktable import pack, rows_of, unpack
-from neartide.plans.storage import materialize
+from neartide.plans.storage import materialize, numbered
 
 WINDOW = 10
 SLOP = 12
@@ -276,6 +276,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have no window of any item.  Rows without doc_id stay."""
-    bad = contamination(docs, benchmark).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that have no window of any item, each searched on its own, whatever its doc_id."""
+    rows = numbered(docs)
+    bad = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark).where("contaminated").select("doc_id")
+    return rows.join(bad.withColumnRenamed("doc_id", "_row"), "_row", "left_anti").select(docs.columns)

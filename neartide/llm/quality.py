@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from neartide.llm import words
-from neartide.plans.storage import materialize
+from neartide.plans.storage import materialize, numbered
 
 SAMPLE = 20_000  # labelled documents that the classifier is fitted to
 REJECT = 0.5
@@ -45,16 +45,18 @@ def measure(text: bytes | None) -> list[float]:
     return [*share[1:7].tolist(), len(set(found)) / count, min(np.log1p(len(found)) / 10, 2.0), min(n / count / 20, 3.0), len(set(lines)) / max(1, len(lines)), signed]
 
 
-_SCHEMA = "doc_id long, host string, path string, x binary"
+_SCHEMA = "doc_id long, _row long, host string, path string, x binary"
 
 
 def measured(docs: DataFrame, host: Column, path: Column) -> DataFrame:
+    row = F.col("_row") if "_row" in docs.columns else F.lit(None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [np.array(measure(t), np.float32).tobytes() for t in batch.column(3).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.binary())], names=["doc_id", "host", "path", "x"])
+            x = [np.array(measure(t), np.float32).tobytes() for t in batch.column(4).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(x, pa.binary())], names=["doc_id", "_row", "host", "path", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), host.alias("host"), path.alias("path"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.cast("long").alias("_row"), host.alias("host"), path.alias("path"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SCHEMA)
 
 
 def _design(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -108,8 +110,8 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     return mean, float(np.clip(mean * (1 - mean) / between - 1, 1.0, 1e4))
 
 
-def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, reject: float = REJECT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, host, path, evidence, host_rate, path_rate, posterior, keep.
+def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, reject: float = REJECT, with_row: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, host, path, evidence, host_rate, path_rate, posterior, keep, and if asked its _row.
 
     The host is ``source`` up to a slash, the path what follows, or ``lang``
     where there is none; both can be given.  Evidence is the classifier's log
@@ -128,10 +130,10 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([np.frombuffer(v, np.float32) for v in batch.column(3).to_pylist()], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.round(model.evidence(x), 6))], names=["doc_id", "host", "path", "evidence"])
+            x = np.array([np.frombuffer(v, np.float32) for v in batch.column(4).to_pylist()], np.float64).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.round(model.evidence(x), 6))], names=["doc_id", "_row", "host", "path", "evidence"])
 
-    weighed = materialize(rows.mapInArrow(weigh, "doc_id long, host string, path string, evidence double"), "evidence")
+    weighed = materialize(rows.mapInArrow(weigh, "doc_id long, _row long, host string, path string, evidence double"), "evidence")
     paths = materialize(
         weighed.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(1e6 / (1 + F.exp(-F.col("evidence")))).cast("long")).alias("good")), "paths"
     )
@@ -145,11 +147,12 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
     return (
         weighed.join(rates, ["host", "path"], "left")
         .withColumn("posterior", F.round(1 / (1 + F.exp(-odds)), 6))
-        .select("doc_id", "host", "path", "evidence", F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"), "posterior", (F.col("posterior") >= reject).alias("keep"))
+        .select("doc_id", "host", "path", "evidence", F.round("host_rate", 6).alias("host_rate"), F.round("path_rate", 6).alias("path_rate"), "posterior", (F.col("posterior") >= reject).alias("keep"), *["_row"] * with_row)
     )
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not rejected.  Rows without doc_id stay."""
-    gone = judge(docs, labels).where("not keep and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that are not rejected, each judged on its own, whatever its doc_id."""
+    rows = numbered(docs)
+    gone = judge(rows, labels, with_row=True).where("not keep").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
