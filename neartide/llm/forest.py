@@ -3,8 +3,11 @@
 A tree gives every vector a string of 64 random-hyperplane bits and keeps the
 strings sorted.  A query descends each tree to the range with its longest
 common prefix; then all trees ascend together, a bit at a time, until their
-ranges hold enough candidates, which are scored exactly.  Norms are levelled by
-one more coordinate, so that the angle between hashes orders inner products.
+ranges hold enough candidates.  Norms are levelled by one more coordinate, so
+that the angle between hashes orders inner products.  The best candidates' least
+score then decides which vectors are left to look at: all those whose norm still
+allows as much are scored too, so that none of the nearest is lost, whatever the
+norms, the mean or the length of the vectors.
 
 Distinct vectors are indexed, whole, in shards of bounded size; each shard holds
 its forest and the queries stream past it in blocks.  Copies of a vector are one
@@ -37,6 +40,9 @@ class Forest:
         n, dim = vectors.shape
         norm2 = (vectors * vectors).sum(1)
         self.reach = float(np.sqrt(norm2.max())) if n else 1.0
+        self.falling = np.argsort(-norm2, kind="stable")  # entries from the largest norm to the least
+        self.norm = np.sqrt(norm2[self.falling])
+        self.slack = max(1e-5, 2.0**-23 * (dim + 2))  # of single precision, as a share of the norms' product
         self.enough = max(share * n, least)
         self.plane = np.random.default_rng(seed).standard_normal((dim + 1, trees * 64)).astype(np.float32)
         self.x32 = vectors.astype(np.float32)
@@ -59,7 +65,7 @@ class Forest:
         return low, high
 
     def search(self, queries: np.ndarray, top: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query the entries that may be among its ``top`` best candidates, with exact scores."""
+        """For each query its ``top`` best entries, and any that tie with the last, with exact scores."""
         scale = np.sqrt((queries * queries).sum(1))
         strings = self._strings(np.concatenate([queries * (self.reach / scale)[:, None], np.zeros((len(queries), 1))], 1))
         # ranges only widen on the way up, so the depth at which they hold enough is found by halving
@@ -70,16 +76,21 @@ class Forest:
             enough = (b - a).sum(0) >= self.enough
             low, high = np.where(enough, middle, low), np.where(enough, high, middle)
         first, last = self._ranges(strings, low)
+        least = np.full(len(queries), -np.inf)
         for i, q in enumerate(queries):
             met = np.zeros(len(self.x), bool)
             for order, a, b in zip(self.order, first[:, i].tolist(), last[:, i].tolist()):
                 met[order[a:b]] = True
             found = np.flatnonzero(met)
-            near = self.x32[found] @ q.astype(np.float32)
             if len(found) > top:
+                near = self.x32[found] @ q.astype(np.float32)
                 # single precision only rules out what cannot be among the best
-                margin = 1e-5 * self.reach * scale[i]
-                found = found[near >= np.partition(near, -top)[-top] - margin]
+                least[i] = np.partition(near, -top)[-top] - 2 * self.slack * self.reach * scale[i]
+        # an entry of less norm than least / scale cannot score as much
+        count = np.searchsorted(-self.norm, -least / scale * (1 - np.sign(least) * 1e-9), "right")
+        near = self.x32[self.falling[: count.max(initial=0)]] @ queries.astype(np.float32).T
+        for i, q in enumerate(queries):
+            found = np.sort(self.falling[: count[i]][near[: count[i], i] >= least[i]])
             score = (self.x[found] * q).sum(1)
             if len(found) > top:
                 best = score >= np.partition(score, -top)[-top]
