@@ -5,8 +5,9 @@ histogram: at most ``capacity`` numbers, whatever the corpus.  The histogram is
 solved on the driver by branch and bound.  Each node takes the largest length
 left and branches on undominated fillings of the room beside it, cuts branches
 by the waste that a better solution could still afford, and starts from a
-best-fit solution as incumbent.  A filling is applied as often as the counts
-allow, so a solution is a short list of fillings with multiplicities.  Pieces
+best-fit solution as incumbent.  Fillings are applied as often as the counts
+allow first, then half as often and so on down to once, so the search is whole
+when its nodes suffice and a solution is a list of fillings with multiplicities.  Pieces
 are then ranked among those of their length and take the places of that rank.
 """
 
@@ -30,7 +31,8 @@ from neartide.plans.storage import materialize
 
 CAPACITY = 2048
 MEMO = 1_000_000  # words of which a worker remembers the ids
-NODES = 4_000  # of the search
+NODES = 40_000  # of the search
+STEPS = 1_000  # of the enumeration of fillings that count as a node
 _END = b"\0\0\0\0"
 
 _open: dict = {}
@@ -186,11 +188,9 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 
 
 def fillings(counts: np.ndarray, room: int, allowed: int, most: int = 3) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` with waste up to ``allowed``, least waste first, then with the largest lengths.
+    """The most promising fillings of ``room`` with waste up to ``allowed``, least waste first, then with the largest lengths; not all of them.
 
-    A single length that fills the room dominates every other filling of it; a
-    filling that some length left over could replace part of, to less waste,
-    is dominated and left out.
+    A single length that fills the room dominates every other filling of it.
     """
     if room > 0 and counts[room] > 0:
         return [(room,)]
@@ -246,8 +246,84 @@ def fillings(counts: np.ndarray, room: int, allowed: int, most: int = 3) -> list
     return sorted(found, key=lambda f: (found[f], [-x for x in f]))[:most]
 
 
+def other_fillings(counts: np.ndarray, room: int, allowed: int) -> Iterator[tuple[int, ...] | None]:
+    """Every filling of ``room`` with waste up to ``allowed`` in which no length left over could be added or take the place of a shorter one; None after each STEPS steps."""
+    sizes = np.flatnonzero(counts[: room + 1])[::-1].tolist()
+    left = [int(counts[x]) for x in sizes]
+    volume = [0]  # of the lengths from each place on
+    for x, n in zip(reversed(sizes), reversed(left)):
+        volume.append(volume[-1] + x * n)
+    volume.reverse()
+
+    def dominated(taken: dict[int, int], waste: int) -> bool:
+        spare = [x for x, n in zip(sizes, left) if n > taken.get(x, 0)]
+        if spare and spare[-1] <= waste:
+            return True
+        return any(x < y <= x + waste for x in taken for y in spare) if waste else False
+
+    steps = 0
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
+    while stack:
+        steps += 1
+        if steps % STEPS == 0:
+            yield None
+        i, space, filling = stack.pop()
+        while i < len(sizes) and sizes[i] > space:
+            i += 1
+        if i == len(sizes):
+            if space <= allowed:
+                taken: dict[int, int] = defaultdict(int)
+                for x in filling:
+                    taken[x] += 1
+                if not dominated(taken, space):
+                    yield filling
+            continue
+        if space - volume[i] > allowed:
+            continue
+        x = sizes[i]
+        for n in range(0, min(left[i], space // x) + 1):  # the most of the largest length comes off the stack first
+            stack.append((i + 1, space - n * x, filling + (x,) * n))
+
+
+def _choices(state: np.ndarray, capacity: int, allowed: int) -> Iterator[tuple[tuple[int, ...], int] | None]:
+    """(filling with the largest length left, multiplicity) in the order of the search; None where a node's worth of steps is spent."""
+    largest = int(np.flatnonzero(state)[-1])
+    room = capacity - largest
+    rest = state.copy()
+    rest[largest] -= 1
+
+    def often(option: tuple[int, ...]) -> int:
+        need: dict[int, int] = defaultdict(int)
+        for x in (largest, *option):
+            need[x] += 1
+        times = min(int(state[x]) // n for x, n in need.items())
+        waste = room - sum(option)
+        return max(1, min(times, allowed // waste)) if waste else times
+
+    first = fillings(rest, room, allowed)
+    for option in first:
+        yield (largest, *option), often(option)
+    if first == [()] or (len(first) == 1 and first[0] == (room,)):
+        return  # nothing fits, or one length fills the room: no other choice can be better
+    for option in first:
+        times = often(option)
+        while times > 1:
+            times //= 2
+            yield (largest, *option), times
+    known = set(first)
+    for option in other_fillings(rest, room, allowed):
+        if option is None:
+            yield None
+        elif option not in known:
+            times = often(option)
+            yield (largest, *option), times
+            while times > 1:
+                times //= 2
+                yield (largest, *option), times
+
+
 def solve(counts: np.ndarray, capacity: int, nodes: int = NODES) -> tuple[list[tuple[tuple[int, ...], int]], int]:
-    """The best solution found and a lower bound on the number of sequences."""
+    """The best solution found and a lower bound on the number of sequences; the best there is if the search ends before its nodes do."""
     best = best_fit(counts, capacity)
     used = sum(n for _, n in best)
     bound = lower_bound(counts, capacity)
@@ -255,43 +331,34 @@ def solve(counts: np.ndarray, capacity: int, nodes: int = NODES) -> tuple[list[t
     total = int((counts * sizes).sum())
     if used == bound or not total:
         return best, bound
+
+    def affordable(state: np.ndarray, bins: int) -> int:
+        """Waste that a solution better than the incumbent can still afford."""
+        return (used - 1 - bins) * capacity - int((state * sizes).sum())
+
     path: list[tuple[tuple[int, ...], int]] = []
-    stack: list[tuple] = [("visit", counts.astype(np.int64), 0)]
+    start = counts.astype(np.int64)
+    stack = [(start, 0, _choices(start, capacity, affordable(start, 0)))] if affordable(start, 0) >= 0 else []
     while stack and nodes and used > bound:
-        what, state, bins = stack.pop()
-        if what == "apply":
-            filling, times, depth, state, bins = state
-            del path[depth:]
-            path.append((filling, times))
-            after = state.copy()
-            for x in filling:
-                after[x] -= times
-            state, bins = after, bins + times
-        nodes -= 1
-        left = np.flatnonzero(state)
-        if not len(left):
-            if bins < used:
-                best, used = list(path), bins
+        state, bins, choices = stack[-1]
+        del path[len(stack) - 1 :]
+        choice = next(choices, ())
+        if choice == () or affordable(state, bins) < 0:
+            stack.pop()
             continue
-        # waste that a solution better than the incumbent can still afford
-        volume = int((state * sizes).sum())
-        allowed = (used - 1 - bins) * capacity - volume
-        if allowed < 0:
+        nodes -= 1
+        if choice is None:
             continue
-        largest = int(left[-1])
-        state[largest] -= 1
-        options = fillings(state, capacity - largest, allowed)
-        state[largest] += 1
-        for option in reversed(options):
-            filling = (largest, *option)
-            need: dict[int, int] = defaultdict(int)
-            for x in filling:
-                need[x] += 1
-            times = min(int(state[x]) // n for x, n in need.items())
-            waste = capacity - sum(filling)
-            if waste:
-                times = max(1, min(times, allowed // waste))
-            stack.append(("apply", (filling, times, len(path), state, bins), bins))
+        filling, times = choice
+        path.append(choice)
+        after = state.copy()
+        for x in filling:
+            after[x] -= times
+        if not after.any():
+            if bins + times < used:
+                best, used = list(path), bins + times
+        elif (allowed := affordable(after, bins + times)) >= 0:
+            stack.append((after, bins + times, _choices(after, capacity, allowed)))
     return best, bound
 
 
@@ -319,7 +386,7 @@ def pack(pieces_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset += x
         base += times
     ranges.sort()
-    table = np.array(ranges, np.int64).reshape(-1, 4)  # bounded by the capacity, not the corpus: each filling uses up a length
+    table = np.array(ranges, np.int64).reshape(-1, 4)  # bounded by the capacity and the search's nodes, not the corpus
     code = (table[:, 0] << 48) | table[:, 1]
 
     salts = max(16, total // 250_000)
