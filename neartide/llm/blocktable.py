@@ -59,7 +59,7 @@ def block_table(docs: DataFrame, limit: int = BLOCK_BYTES, slices: int = 1, tag:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(narrow.mapInArrow(run, SCHEMA), tag)
+    return materialize(narrow.mapInArrow(words.trimmed(run), SCHEMA), tag)
 
 
 class Block:
@@ -114,7 +114,7 @@ def sent(table: DataFrame, bits: int, keyed: Callable[[Block], tuple[np.ndarray,
                     names=["bucket", "blk", "keys", "values"],
                 )
 
-    return table.select([f.split()[0] for f in SCHEMA.split(", ")]).mapInArrow(run, "bucket int, blk long, keys binary, values binary")
+    return table.select([f.split()[0] for f in SCHEMA.split(", ")]).mapInArrow(words.trimmed(run), "bucket int, blk long, keys binary, values binary")
 
 
 def gathered(messages: DataFrame, reduce: Callable[[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -137,7 +137,7 @@ def gathered(messages: DataFrame, reduce: Callable[[int, np.ndarray, np.ndarray,
         if held:
             yield from done()
 
-    return messages.repartition("bucket").sortWithinPartitions("bucket", "blk").mapInArrow(run, schema)
+    return messages.repartition("bucket").sortWithinPartitions("bucket", "blk").mapInArrow(words.trimmed(run), schema)
 
 
 def answered(table: DataFrame, answers: DataFrame, finish: Callable[[Block, list[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -157,4 +157,4 @@ def answered(table: DataFrame, answers: DataFrame, finish: Callable[[Block, list
                 yield from finish(Block(row), held)
                 held = []
 
-    return left.unionByName(right).repartition("blk").sortWithinPartitions("blk", "kind", "bucket").mapInArrow(run, schema)
+    return left.unionByName(right).repartition("blk").sortWithinPartitions("blk", "kind", "bucket").mapInArrow(words.trimmed(run), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from neartide.llm import words
 from neartide.llm.blocktable import pack, rows_of, unpack
-from neartide.plans.storage import materialize, numbered
+from neartide.plans.storage import materialize
 
 WINDOW = 10
 SLOP = 12
@@ -76,15 +76,32 @@ class _Windows:
 class _Segment:
     """The postings of one segment: term << 40 | position, rising.  Documents are one position apart."""
 
-    def __init__(self, row: dict):
-        self.ids, self.null = unpack(row["ids"]).view(np.int64), np.frombuffer(row["nulls"], bool)
-        self.n_words = unpack(row["n_words"]).view(np.int64)
-        self.begins = np.concatenate([[0], np.cumsum(self.n_words + 1)])
-        counts = unpack(row["counts"]).view(np.int64)
-        self.postings = unpack(row["positions"], True)
-        terms = unpack(row["terms"], True)
+    def __init__(self, n_words: np.ndarray, postings: np.ndarray):
+        self.n_words, self.postings = n_words, postings
+        self.begins = np.concatenate([[0], np.cumsum(n_words + 1)])
+
+    @classmethod
+    def stored(cls, row: dict) -> "_Segment":
+        return cls(unpack(row["n_words"]).view(np.int64), unpack(row["positions"], True))
+
+    @classmethod
+    def of(cls, texts: list[bytes | None], terms: np.ndarray) -> "_Segment":
+        """The postings of the rising term hashes ``terms`` in some texts."""
+        buf, begins = words.joined(texts)
+        buf = words.lowered(buf)
+        starts, ends = words.spans(buf, _ALNUM)
+        doc = np.searchsorted(begins, starts, "right") - 1
+        keys = words.hashes(buf, starts, ends)
         if len(terms):
-            assert counts.sum() == len(self.postings)
+            at = np.minimum(np.searchsorted(terms, keys), len(terms) - 1)
+            hit = np.flatnonzero(terms[at] == keys)
+        else:
+            at = hit = np.empty(0, np.int64)
+        return cls(np.bincount(doc, minlength=len(texts)).astype(np.int64), np.sort((at[hit].astype(np.uint64) << _SHIFT) | (hit + doc[hit]).astype(np.uint64)))
+
+    def terms(self) -> tuple[np.ndarray, np.ndarray]:
+        """The terms that stand here and how often."""
+        return np.unique(self.postings >> _SHIFT, return_counts=True)
 
     def slices(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low = term.astype(np.uint64) << _SHIFT
@@ -143,26 +160,16 @@ def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for seq, (ids, texts) in enumerate(words.blocks(batches, 4 << 20)):
-            buf, begins = words.joined(texts)
-            buf = words.lowered(buf)
-            starts, ends = words.spans(buf, _ALNUM)
-            doc = np.searchsorted(begins, starts, "right") - 1
-            keys = words.hashes(buf, starts, ends)
-            if len(terms):
-                at = np.minimum(np.searchsorted(terms, keys), len(terms) - 1)
-                hit = np.flatnonzero(terms[at] == keys)
-            else:
-                at = hit = np.empty(0, np.int64)
-            postings = np.sort((at[hit].astype(np.uint64) << _SHIFT) | (hit + doc[hit]).astype(np.uint64))
-            present, counts = np.unique(postings >> _SHIFT, return_counts=True)
+            segment = _Segment.of(texts, terms)
+            present, counts = segment.terms()
             row = [
-                (part << 32) | seq, pack(np.array([k or 0 for k in ids], np.int64)), bytes(k is None for k in ids), pack(np.bincount(doc, minlength=len(ids)).astype(np.int64)),
-                pack(present, True), pack(counts.astype(np.int64)), pack(postings, True),
+                (part << 32) | seq, pack(np.array([k or 0 for k in ids], np.int64)), bytes(k is None for k in ids), pack(segment.n_words),
+                pack(present, True), pack(counts.astype(np.int64)), pack(segment.postings, True),
             ]
             yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i == 0 else pa.binary()) for i, v in enumerate(row)], names=[f.split()[0] for f in _SEGMENT.split(", ")])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(narrow.mapInArrow(run, _SEGMENT), "segments")
+    return materialize(narrow.mapInArrow(words.trimmed(run), _SEGMENT), "segments")
 
 
 def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -175,8 +182,16 @@ def term_frequencies(index: DataFrame, n_terms: int) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
 
+    return _collected(index.select("terms", "counts").mapInArrow(words.trimmed(run), _FREQUENCY), n_terms)
+
+
+_FREQUENCY = "term long, n long"
+
+
+def _collected(counts: DataFrame, n_terms: int) -> np.ndarray:
+    """The sums of (term, n) as an array."""
     found = np.zeros(n_terms, np.int64)
-    for r in index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect():
         found[r["term"]] = r["n"]
     return found
 
@@ -191,8 +206,9 @@ def _matches(docs: DataFrame, items: list[tuple[str, bytes]], width: int, slop:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            segment = _Segment(row)
-            n = len(segment.ids)
+            segment = _Segment.stored(row)
+            ids, null = unpack(row["ids"]).view(np.int64), np.frombuffer(row["nulls"], bool)
+            n = len(ids)
             change = np.zeros(segment.begins[-1] + 2, np.int64)
             exact: list[set] = [set() for _ in range(n)]
             near: list[set] = [set() for _ in range(n)]
@@ -210,13 +226,13 @@ def _matches(docs: DataFrame, items: list[tuple[str, bytes]], width: int, slop:
             packed = [pack((hit[cuts[d] : cuts[d + 1]] - segment.begins[d]).astype(np.uint64), True) if cuts[d + 1] > cuts[d] else None for d in range(n)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([row["seg"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(segment.ids, mask=segment.null), pa.array(segment.n_words),
+                    pa.array([row["seg"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids, mask=null), pa.array(segment.n_words),
                     pa.array(packed, pa.binary()), pa.array([sorted(x) for x in exact], pa.list_(pa.string())), pa.array([sorted(x) for x in near], pa.list_(pa.string())),
                 ],
                 names=[f.split()[0] for f in _HITS.split(", ")],
             )
 
-    return index.mapInArrow(run, _HITS)
+    return index.mapInArrow(words.trimmed(run), _HITS)
 
 
 _RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near long"
@@ -253,6 +269,16 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rows)
 
 
+def _items(benchmark: DataFrame, query_bytes: int) -> tuple[DataFrame, int]:
+    """(name, text) of the items that have text, and in how many blocks of about ``query_bytes`` they are collected."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return items, max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // query_bytes))
+
+
+def _block(items: DataFrame, passes: int, p: int) -> list[tuple[str, bytes]]:
+    return [(r["name"], r["text"].encode()) for r in items.where(F.pmod(F.xxhash64("name", "text"), F.lit(passes)) == p).collect()]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = SLOP, near_terms: int = NEAR_TERMS, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near.
 
@@ -263,20 +289,52 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sl
     by the empty name; repeated rows each get a row; empty tables give no rows
     or no hits; other columns are not read.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.col("text").cast("string").alias("text")).where("text is not null")
-    passes = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // query_bytes))
+    items, passes = _items(benchmark, query_bytes)
     found = None
     for p in range(passes):
-        part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(passes)) == p).collect()  # about query_bytes
-        one = _matches(docs, [(r["name"], r["text"].encode()) for r in part], width, slop, near_terms)
+        one = _matches(docs, _block(items, passes, p), width, slop, near_terms)
         found = one if found is None else found.unionByName(one)
     if passes > 1:
         found = found.repartition("seg").sortWithinPartitions("seg", "ord")
-    return found.mapInArrow(_digest, _RESULT)
+    return found.mapInArrow(words.trimmed(_digest), _RESULT)
+
 
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """The rows of ``docs`` that have no window of any item, each searched where it stands, whatever its doc_id.
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have no window of any item, each searched on its own, whatever its doc_id."""
-    rows = numbered(docs)
-    bad = contamination(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark).where("contaminated").select("doc_id")
-    return rows.join(bad.withColumnRenamed("doc_id", "_row"), "_row", "left_anti").select(docs.columns)
+    The index is made a segment at a time, first for how often the corpus has
+    each term, then for the phrases, and not stored: no row is written or
+    shuffled.  Null, empty and wordless texts stay; very long texts are searched
+    whole; repeated rows go or stay alike; an empty table stays empty; all
+    columns of any name stay.
+    """
+    at = docs.columns.index("text")
+    items, passes = _items(benchmark, query_bytes)
+    left = docs
+    for p in range(passes):
+        windows = _Windows(_block(items, passes, p), width)
+        terms = windows.terms
+
+        def count(batches: Iterator[pa.RecordBatch], terms: np.ndarray = terms) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(terms), np.int64)
+            for batch in batches:
+                for part in words.parts(batch, 0):
+                    some, n = _Segment.of(part.column(0).cast(pa.large_binary()).to_pylist(), terms).terms()
+                    total[some.astype(np.int64)] += n
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
+
+        def search(batches: Iterator[pa.RecordBatch], windows: _Windows = windows, terms: np.ndarray = terms) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in words.parts(batch, at):
+                    segment = _Segment.of(part.column(at).cast(pa.large_binary()).to_pylist(), terms)
+                    keep = np.ones(part.num_rows, bool)
+                    for window, position in segment.candidates(windows):
+                        _, begin = segment.phrases(windows, window, position)
+                        keep[np.searchsorted(segment.begins, begin, "right") - 1] = False
+                    yield part if keep.all() else part.filter(pa.array(keep))
+
+        text = docs.select(F.col("text").cast("string").alias("text"))
+        windows.by_rarity(_collected(text.mapInArrow(words.trimmed(count), _FREQUENCY), len(terms)))
+        left = left.mapInArrow(words.trimmed(search), docs.schema)
+    return left

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from neartide.llm import words
 from neartide.plans.storage import materialize
 
 TREES = 96
@@ -153,6 +154,6 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, column: str = "e
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.float64()])], names=["query_id", "vec_id", "score"])
 
-    found = index.unionByName(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "side").mapInArrow(run, "query_id long, vec_id long, score double")
+    found = index.unionByName(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "side").mapInArrow(words.trimmed(run), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -261,4 +261,4 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 names=[f.split()[0] for f in schema.split(", ")],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(words.trimmed(run), schema)

@@ -191,7 +191,7 @@ def _gradient(table: DataFrame, model: Model, chunk: int = 512) -> tuple[np.ndar
 
     schema = "at int, seen binary, thought binary"
     seen, thought = np.zeros((rows, CLASSES)), np.zeros((rows, CLASSES))
-    for r in table.mapInArrow(run, schema).repartition("at").mapInArrow(total, schema).toLocalIterator():
+    for r in table.mapInArrow(words.trimmed(run), schema).repartition("at").mapInArrow(words.trimmed(total), schema).toLocalIterator():
         part = np.frombuffer(r["seen"]).reshape(-1, CLASSES)
         seen[r["at"] : r["at"] + len(part)] = part
         thought[r["at"] : r["at"] + len(part)] = np.frombuffer(r["thought"]).reshape(-1, CLASSES)

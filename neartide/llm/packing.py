@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from neartide.llm.words import blocks
+from neartide.llm import words
 from neartide.plans.storage import materialize
 
 CAPACITY = 2048
-MEMO = 1_000_000  # words of which a worker remembers the ids
+MEMO = 1 << 17  # words of which a worker remembers the ids; the memory is bounded, the ids do not depend on it
+WORDS = 1 << 15  # words after which it looks whether they are too many
 NODES = 40_000  # of the search
 STEPS = 1_000  # of the enumeration of fillings that count as a node
 _END = b"\0\0\0\0"
@@ -81,6 +82,8 @@ class _Encoder(dict):
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def __missing__(self, word: bytes) -> bytes:
+        if len(word) > 256:  # such words are rare and long: they are not remembered
+            return self._whole(word)
         if word.isascii():
             low = word.lower()
             if low.isalpha():
@@ -106,9 +109,13 @@ class _Encoder(dict):
 
     def encode(self, text: bytes | None) -> bytes:
         """Little-endian unsigned 32-bit ids of a text, an id 0 at the end."""
-        if len(self) > MEMO:
-            self.clear()
-        return b"".join(map(self.__getitem__, (text or b"").split())) + _END
+        found = (text or b"").split()
+        out = []
+        for i in range(0, len(found), WORDS):
+            if len(self) > MEMO:
+                self.clear()
+            out.append(b"".join(map(self.__getitem__, found[i : i + WORDS])))
+        return b"".join(out) + _END
 
 
 def encoder(path: str) -> _Encoder:
@@ -125,7 +132,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     schema = _PIECES + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches, 1 << 20):
+        for ids, texts in words.blocks(batches, 1 << 20):
             rows = []
             encode = encoder(path).encode
             for k, text in zip(ids, texts):
@@ -136,7 +143,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(words.trimmed(run), schema)
 
 
 # ---- the search: a solution is a list of (lengths of one sequence, how many sequences)
@@ -406,7 +413,7 @@ def pack(pieces_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
 
     schema = pieces_table.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.select(*names, "rank").mapInArrow(place, schema) if total else spark.createDataFrame([], schema)
+    return ranked.select(*names, "rank").mapInArrow(words.trimmed(place), schema) if total else spark.createDataFrame([], schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

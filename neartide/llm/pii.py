@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from neartide.llm import words
+
 # fixed values: the kinds, in the order in which ties are listed
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -249,7 +251,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, passes: int = 120) -> Field:
     """Fits the field to the ``sample`` tokens with the least hash of about SAMPLE_DOCS documents, chosen by hash: the unary weights by gradient, the pair weights by their counts."""
     share = int(min(1.0, SAMPLE_DOCS / max(1, docs.count())) * 1_000_000)
     docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    rows = docs.select("doc_id", "text").mapInArrow(_labelled, _SAMPLE).orderBy("pick", "label").limit(sample).collect()
+    rows = docs.select("doc_id", "text").mapInArrow(words.trimmed(_labelled), _SAMPLE).orderBy("pick", "label").limit(sample).collect()
     k = len(LABELS)
     unary = np.zeros((HASHES, k))
     pairs = {"chain": np.ones((k, k)), "skip": np.ones((k, k))}
@@ -336,7 +338,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
                 types = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(words.trimmed(run), schema)
 
 
 def masked_text(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -360,4 +362,4 @@ def mask(docs: DataFrame, field: Field | None = None) -> DataFrame:
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(words.trimmed(run), docs.schema)

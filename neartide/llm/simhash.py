@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             values = [fingerprint(t, width, seed) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(words.trimmed(run), "doc_id long, fp long")
 
 
 def _offsets(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -137,7 +137,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, home: i
             fp = np.asarray(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((_signature(fp, parts) @ scale).astype(np.int32))], names=["fp", "tile"])
 
-    marked = distinct.select("fp").mapInArrow(tiled, "fp long, tile int")
+    marked = distinct.select("fp").mapInArrow(words.trimmed(tiled), "fp long, tile int")
     # at most (64 / parts + 1) ** parts rows, 83,521 for four parts, however many fingerprints there are
     cuts = {r["tile"]: -(-r["n"] // home) for r in marked.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -204,9 +204,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int = PARTS, home: i
             yield out
 
     return (
-        distinct.select("fp").mapInArrow(dealt, "tile int, block int, side byte, fp long")
+        distinct.select("fp").mapInArrow(words.trimmed(dealt), "tile int, block int, side byte, fp long")
         .repartition("tile", "block").sortWithinPartitions("tile", "block", "side")
-        .mapInArrow(met, "u long, v long")
+        .mapInArrow(words.trimmed(met), "u long, v long")
     )
 
 

@@ -6,10 +6,12 @@ that the cost in Python is per block, not per document or word.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 #: Bytes that separate words of class [^\x20\x09-\x0D]+
 SPACES = b"\t\n\x0b\x0c\r "
@@ -70,17 +72,51 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[
     texts: list = []
     total = 0
     for batch in batches:
-        for k, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist()):
-            ids.append(k)
-            texts.append(text)
-            total += len(text or b"") + 1
-            if total >= limit:
-                yield ids, texts
-                ids, texts, total = [], [], 0
+        for part in parts(batch, 1, limit):
+            for k, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist()):
+                ids.append(k)
+                texts.append(text)
+                total += len(text or b"") + 1
+                if total >= limit:
+                    yield ids, texts
+                    ids, texts, total = [], [], 0
     if ids:
         yield ids, texts
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; what it freed goes back to the machine when its task ends, as Spark keeps its workers for other tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
+def parts(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with up to about ``limit`` bytes in a string or binary column; a longer value is a slice of its own."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = np.cumsum(sizes + 1) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores in front of it until no column is called so, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def joined(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """The texts as one buffer with a line feed after each, and where each starts (one more at the end)."""
     data = b"\n".join(t or b"" for t in texts) + b"\n"
