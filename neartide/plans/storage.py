@@ -8,6 +8,7 @@ survives the loss of any executor and cuts the lineage of what reads it.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         own = spark.sparkContext.getCheckpointDir()
         if own:
             return own
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="neartide-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -40,9 +43,9 @@ def materialize(df: DataFrame, tag: str, partition_by: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """Writes ``df`` with a number of its own for each row, column _row, so that rows can be decided on whatever their keys are."""
-    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """Writes ``df`` with a number of its own for each row, in ``column``, so that rows can be decided on whatever their keys are."""
+    return materialize(df.withColumn(column, F.monotonically_increasing_id()), "rows")
 
 
 def discard() -> None:
