@@ -98,16 +98,16 @@ def cuts_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), [len(keys)]])
 
 
-def sent(table: DataFrame, bits: int, keyed: Callable[[Block], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Messages (bucket, blk, keys, values): ``keyed`` gives a block's rising distinct hashes and a 64-bit value of each."""
+def sent(table: DataFrame, bits: int, keyed: Callable[[Block], tuple[np.ndarray, ...]]) -> DataFrame:
+    """Messages (bucket, blk, keys, values): ``keyed`` gives a block's rising distinct hashes and one or more 64-bit values of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             block = Block(row)
-            keys, values = keyed(block)
+            keys, *values = keyed(block)
             cuts = cuts_of(keys, bits)
             full = np.flatnonzero(np.diff(cuts))
-            packed = [(int(b), pack(keys[cuts[b] : cuts[b + 1]], True), pack(values[cuts[b] : cuts[b + 1]])) for b in full]
+            packed = [(int(b), pack(keys[cuts[b] : cuts[b + 1]], True), pack(np.concatenate([v[cuts[b] : cuts[b + 1]].view(np.uint64) for v in values]))) for b in full]
             if packed:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p[0] for p in packed], pa.int32()), pa.array([block.blk] * len(packed), pa.int64()), pa.array([p[1] for p in packed], pa.binary()), pa.array([p[2] for p in packed], pa.binary())],
@@ -118,13 +118,13 @@ def sent(table: DataFrame, bits: int, keyed: Callable[[Block], tuple[np.ndarray,
 
 
 def gathered(messages: DataFrame, reduce: Callable[[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Runs ``reduce(bucket, keys, values, blks, bounds)`` on all messages of each range; message i is bounds[i]:bounds[i + 1]."""
+    """Runs ``reduce(bucket, keys, values, blks, bounds)`` on all messages of each range; values has a row for each value; message i is bounds[i]:bounds[i + 1]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            keys, values = [np.concatenate(x) for x in (([h[1] for h in held]), ([h[2] for h in held]))]
+            keys, values = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held], axis=1)
             bounds = np.concatenate([[0], np.cumsum([len(h[1]) for h in held])])
             yield from reduce(bucket, keys, values, np.array([h[0] for h in held]), bounds)
 
@@ -133,7 +133,8 @@ def gathered(messages: DataFrame, reduce: Callable[[int, np.ndarray, np.ndarray,
                 if held:
                     yield from done()
                 bucket, held = row["bucket"], []
-            held.append((row["blk"], unpack(row["keys"], True), unpack(row["values"])))
+            keys = unpack(row["keys"], True)
+            held.append((row["blk"], keys, unpack(row["values"]).reshape(-1, len(keys))))
         if held:
             yield from done()
 

@@ -72,7 +72,7 @@ def _summed(top: int):
         """Kind 0: the answer to each block, its tokens' counts; 1: the range's most frequent tokens; 2: types and tokens of each ending."""
         names, inverse = np.unique(keys, return_inverse=True)
         total = np.zeros(len(names), np.int64)
-        np.add.at(total, inverse, values.view(np.int64))
+        np.add.at(total, inverse, values[0].view(np.int64))
         mine = total[inverse]
         best = np.argsort(-total, kind="stable")[:top]
         best = best[total[best] > 0]
