@@ -1,13 +1,20 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
 The base finds emails, addresses, card and phone numbers by pattern.  The field
-labels the document's tokens that hold a digit or an at sign.  Its features are
-the token's shape and neighbours; neighbouring tokens share a chain potential,
-and tokens of one document that are equal once case and punctuation are gone
-share a skip potential however far apart they are.  Loopy belief propagation
-passes messages along both, so that a token whose label is plain in one place
-is labelled alike where the pattern misses it.  The weights are fitted to the
-base's own labels on a bounded sample of tokens.
+labels a document's tokens that hold a digit or an at sign and the words beside
+them.  Its features are a token's shape and surroundings.  Neighbouring tokens
+share a chain potential.  Tokens of one document that are equal once case and
+punctuation are gone share a skip potential with one variable for that form, and
+tokens with the same last digits share another with one for those, so that all
+occurrences are two steps apart however long the document is; both favour equal
+labels, by a weight that all labels share.  Loopy belief
+propagation passes messages along all of them until they settle, and a token
+whose label is plain in one place is labelled alike where the pattern misses it.
+
+All weights, of features, chain and both kinds of skip, are fitted together:
+they maximise the pseudo-likelihood of the base's own labels, each token's given
+those of its neighbours and of the other tokens of its form, on a bounded sample
+of tokens.
 """
 
 from __future__ import annotations
@@ -15,7 +22,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import Counter, defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +40,18 @@ LABELS = ("none", *KINDS)
 SAMPLE = 20_000  # tokens that the weights are fitted to
 SAMPLE_DOCS = 50_000  # documents, about, that these tokens are taken from
 HASHES = 1 << 12
-ROUNDS = 8
+ROUNDS = 500  # at most, if the messages do not settle before
+TOLERANCE = 1e-4  # of a message
 SURE = 0.9
+LAST = 7  # digits that tokens with similar numbers have in common
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _ANY = re.compile(r"[0-9@]")
-_MARK = re.compile(r"[0-9@]+")
+_WORD = re.compile(r"\S+")
 
 
 def luhn(digits: str) -> bool:
@@ -95,111 +104,134 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _EDGES = "\"'`.,;:!?#$%&*()[]{}<>|/\\=~^"
 
 
-def tokens(text: str) -> list[tuple[int, int]]:
-    """The runs without white space that hold a digit or an at sign, without punctuation at their ends."""
-    found, done = [], 0
-    for mark in _MARK.finditer(text):
-        if mark.start() < done:
-            continue
-        begin, end = mark.start(), mark.end()
-        while begin > done and not text[begin - 1].isspace():
-            begin -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        done = end
-        while begin < end and text[begin] in _EDGES:
-            begin += 1
-        while end > begin and text[end - 1] in _EDGES:
-            end -= 1
-        if begin < end:
-            found.append((begin, end))
-    return found
-
-
-def _word_before(text: str, at: int) -> str:
-    return (text[max(0, at - 24) : at].split() or [""])[-1].lower().strip(_EDGES)
-
-
-def features(text: str, begin: int, end: int) -> list[int]:
-    token = text[begin : min(end, begin + 256)]
-    digits = sum(c.isdigit() for c in token)
-    only = "".join(c for c in token if "0" <= c <= "9")
-    shape = re.sub(r"a+", "a", re.sub(r"[^\W\d_]", "a", re.sub(r"\d+", "9", token)))[:24]
-    names = [
-        f"shape={shape}", f"digits={min(digits, 20)}", f"at={token.count('@')}", f"dots={min(token.count('.'), 4)}", f"plus={text[max(0, begin - 1):begin + 1].count('+')}",
-        f"luhn={len(only)}:{12 <= len(only) <= 19 and luhn(only)}", f"before={_word_before(text, begin)}", f"pure={only == token}", f"letters={min(sum(c.isalpha() for c in token), 8)}",
-    ]
-    return [zlib.crc32(n.encode()) % HASHES for n in names]
-
-
-FEATURES = 9
-
-
-def label_of(begin: int, end: int, spans: list[tuple[int, int, int]]) -> int:
-    """The label of a token: the first kind of base match that covers it."""
-    return min((k + 1 for s, k, e in spans if s < end and begin < e), default=0)
-
-
-def form(token: str) -> str:
-    """What equal tokens have in common: the digits of a number, the letters and digits of anything else."""
-    plain = re.sub(r"[\W_]+", "", token.lower())
-    return plain if len(plain) >= 6 else ""
+class Tokens:
+    """The tokens of a text that the field labels: words with a digit or an at sign and the words beside them, without punctuation at their ends."""
+
+    def __init__(self, text: str, base: list[tuple[int, int, int]]):
+        spots = [m.span() for m in _WORD.finditer(text)]
+        marked = [i for i, (b, e) in enumerate(spots) if _ANY.search(text, b, e)]
+        use = sorted({j for i in marked for j in (i - 1, i, i + 1) if 0 <= j < len(spots)})
+        plain = {}  # the words without punctuation
+        for i in use:
+            word = text[spots[i][0] : spots[i][1]]
+            begin = spots[i][0] + len(word) - len(word.lstrip(_EDGES))
+            plain[i] = (begin, begin + len(word.strip(_EDGES)))
+        use = [i for i in use if plain[i][0] < plain[i][1]]
+        self.text, self.spots = text, [plain[i] for i in use]
+        self.chain = [j for j in range(len(use) - 1) if use[j + 1] == use[j] + 1]  # tokens that the next one follows
+        around = lambda i: text[spots[i][0] : spots[i][1]].lower().strip(_EDGES) if 0 <= i < len(spots) else ""
+        self.before, self.after = [around(i - 1) for i in use], [around(i + 1) for i in use]
+        begins, ends = [b for b, _ in self.spots], [e for _, e in self.spots]
+        self.label = [0] * len(use)  # the first kind of base match that covers a token
+        for s, kind, e in base:
+            for i in range(bisect_right(ends, s), bisect_left(begins, e)):
+                self.label[i] = min(self.label[i] or kind + 1, kind + 1)
+        self.forms: list[list[tuple[str, str]]] = [forms(text[b:e]) for b, e in self.spots]
+
+    def __len__(self) -> int:
+        return len(self.spots)
+
+    def features(self, i: int) -> list[int]:
+        begin, end = self.spots[i]
+        token = self.text[begin:end]
+        digits = sum(c.isdigit() for c in token)
+        only = "".join(c for c in token if "0" <= c <= "9")
+        shape = re.sub(r"a+", "a", re.sub(r"[^\W\d_]", "a", re.sub(r"\d+", "9", token)))
+        names = (
+            f"shape={shape}", f"digits={min(digits, 20)}", f"at={min(token.count('@'), 2)}", f"dots={min(token.count('.'), 4)}", f"plus={self.text[max(0, begin - 1):begin + 1].count('+')}",
+            f"luhn={min(len(only), 20)}:{12 <= len(only) <= 19 and luhn(only)}", f"before={self.before[i]}", f"after={self.after[i]}", f"pure={only == token}", f"letters={min(sum(c.isalpha() for c in token), 8)}",
+        )
+        return [zlib.crc32(n.encode()) % HASHES for n in names]
+
+
+FEATURES = 10
+_BARE = re.compile(r"[\W_]+")
+_DIGITS = re.compile(r"[^0-9]+")
+
+
+def forms(token: str) -> list[tuple[str, str]]:
+    """What a token shares with equal ones (its letters and digits) and with similar ones (its last digits); words without digit or at sign share nothing."""
+    if not _ANY.search(token):
+        return []
+    found = [("skip", _BARE.sub("", token.lower()))]
+    digits = _DIGITS.sub("", token)
+    if len(digits) >= LAST:
+        found.append(("like", digits[-LAST:]))
+    return [f for f in found if f[1]]
 
 
 # ---- the field
 
+_PAIRS = ("chain", "skip", "like")
+
 
 class Field:
-    """Weights of the potentials."""
-
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray):
-        self.unary, self.chain, self.skip = unary, chain, skip
-
-    def marginals(self, text: str, spots: list[tuple[int, int]], spans: list[tuple[int, int, int]], rounds: int = ROUNDS) -> np.ndarray:
-        """The tokens' label probabilities after loopy belief propagation; base matches are observed."""
-        n, k = len(spots), len(LABELS)
-        node = np.zeros((n, k))
-        groups: dict[str, list[int]] = defaultdict(list)
-        pointer = 0
-        for i, (b, e) in enumerate(spots):
-            node[i] = self.unary[features(text, b, e)].sum(0)
-            while pointer < len(spans) and max(spans[j][2] for j in range(pointer, pointer + 1)) <= b:
-                pointer += 1
-            near = [s for s in spans[max(0, pointer - 8) : pointer + 8]]
-            seen = label_of(b, e, near)
-            if seen:
-                node[i] -= 12.0
-                node[i, seen] += 24.0
-            f = form(text[b:e])
-            if f:
-                groups[f].append(i)
-        a, b, which = [], [], []
-        for i in range(n - 1):
-            gap = text[spots[i][1] : spots[i + 1][0]] if spots[i + 1][0] - spots[i][1] <= 4 else "x" * 5
-            if len(gap) <= 4:
-                a.append(i), b.append(i + 1), which.append(0)
-        # the occurrences of one form are joined in a ring with shortcuts, so edges stay in proportion to tokens
-        for own in groups.values():
-            for step in (1, 4, 16, 64):
-                for x, y in zip(own, own[step:]):
-                    a.append(x), b.append(y), which.append(1)
-        if not a:
-            return _softmax(node)
-        a, b, which = np.array(a), np.array(b), np.array(which)
-        pair = np.stack([self.chain, self.skip])[which]
-        right, left = np.zeros((len(a), k)), np.zeros((len(a), k))  # messages to b and to a, as logs
-        for _ in range(rounds):
-            total = node.copy()
-            np.add.at(total, b, right)
-            np.add.at(total, a, left)
-            to_right = _log_sum((total[a] - left)[:, :, None] + pair, 1)
-            to_left = _log_sum((total[b] - right)[:, None, :] + pair, 2)
-            right = 0.5 * right + 0.5 * (to_right - to_right.max(1, keepdims=True))
-            left = 0.5 * left + 0.5 * (to_left - to_left.max(1, keepdims=True))
+    """Weights of the potentials: of features, and of the labels of two tokens or of a token and the variable of its form."""
+
+    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, like: np.ndarray | None = None):
+        self.unary, self.pairs = unary, {"chain": chain, "skip": skip, "like": skip if like is None else like}
+
+    def marginals(self, texts: list[Tokens]) -> list[np.ndarray]:
+        """The tokens' label probabilities after loopy belief propagation; base matches are observed.  Documents share no edge, and each settles on its own."""
+        k = len(LABELS)
+        node, a, b, which, owner = [], [], [], [], []
+        at, first = 0, []
+        for d, tokens in enumerate(texts):
+            first.append(at)
+            for i, seen in enumerate(tokens.label):
+                own = self.unary[tokens.features(i)].sum(0)
+                if seen:
+                    own = np.full(k, -40.0)
+                    own[seen] = 0.0
+                node.append(own)
+            pairs = [(at + i, at + i + 1, 0) for i in tokens.chain]
+            count = Counter(f for own in tokens.forms for f in own)
+            hub: dict[tuple[str, str], int] = {}
+            at += len(tokens)
+            for i, own in enumerate(tokens.forms):
+                for f in own:
+                    if count[f] > 1:
+                        if f not in hub:
+                            hub[f] = at
+                            node.append(np.zeros(k))
+                            at += 1
+                        pairs.append((first[d] + i, hub[f], _PAIRS.index(f[0])))
+            for x, y, w in pairs:
+                a.append(x), b.append(y), which.append(w), owner.append(d)
+        node = np.array(node).reshape(-1, k)
+        total = propagate(node, np.array(a, np.int64), np.array(b, np.int64), np.stack([self.pairs[p] for p in _PAIRS])[np.array(which, np.int64)], np.array(owner, np.int64))
+        return [total[i : i + len(t)] for i, t in zip(first, texts)]
+
+
+def propagate(node: np.ndarray, a: np.ndarray, b: np.ndarray, pair: np.ndarray, owner: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Label probabilities by damped sum-product messages along edges a - b with log potentials ``pair``; exact where there is no loop.
+
+    The edges of one owner go on until none of its messages moves by more than
+    ``tolerance``, or for ``rounds`` rounds; where edges do not settle, the last
+    messages count.
+    """
+    right, left = np.zeros((len(a), node.shape[1])), np.zeros((len(a), node.shape[1]))  # messages to b and to a, as logs
+    live = np.arange(len(a))
+    for _ in range(rounds):
+        if not len(live):
+            break
         total = node.copy()
-        np.add.at(total, b, right)
-        np.add.at(total, a, left)
-        return _softmax(total)
+        np.add.at(total, b[live], right[live])
+        np.add.at(total, a[live], left[live])
+        x, y, p = a[live], b[live], pair[live]
+        new_right = _log_sum((total[x] - left[live])[:, :, None] + p, 1)
+        new_left = _log_sum((total[y] - right[live])[:, None, :] + p, 2)
+        new_right = 0.5 * right[live] + 0.5 * (new_right - new_right.max(1, keepdims=True))
+        new_left = 0.5 * left[live] + 0.5 * (new_left - new_left.max(1, keepdims=True))
+        moved = np.maximum(np.abs(new_right - right[live]).max(1), np.abs(new_left - left[live]).max(1)) > tolerance
+        right[live], left[live] = new_right, new_left
+        restless = np.zeros(owner.max() + 1, bool)
+        restless[owner[live][moved]] = True
+        live = live[restless[owner[live]]]
+    total = node.copy()
+    np.add.at(total, b, right)
+    np.add.at(total, a, left)
+    return _softmax(total)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -212,75 +244,91 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
 
 
-_SAMPLE = "pick long, label int, feature array<int>, chain int, skip int"
+_SAMPLE = "pick long, label int, feature array<int>, before int, after int, skip int, like int"
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each token with its features, its base label and those of the next token and of the next with its form (-1: none)."""
+    """Each token with its features, its base label and those of the tokens beside it and of most others of its forms (-1: none)."""
     for batch in batches:
         rows = []
         for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not text or not _ANY.search(text):
                 continue
-            spots = tokens(text)
-            spans = base_spans(text)
-            marks, j = [], 0
-            for b, e in spots:
-                while j < len(spans) and spans[j][2] <= b and all(s[2] <= b for s in spans[max(0, j - 4) : j + 1]):
-                    j += 1
-                marks.append(label_of(b, e, spans[max(0, j - 8) : j + 8]))
-            last: dict[str, int] = {}
-            skips = [-1] * len(spots)
-            for i in range(len(spots) - 1, -1, -1):
-                f = form(text[spots[i][0] : spots[i][1]])
-                if f:
-                    skips[i] = marks[last[f]] if f in last else -1
-                    last[f] = i
-            known = {form(text[b:e]) for (b, e), m in zip(spots, marks) if m}
-            for i, (b, e) in enumerate(spots):
-                if not marks[i] and form(text[b:e]) in known - {""}:
+            tokens = Tokens(text, base_spans(text))
+            by_form: dict[tuple[str, str], Counter] = {}
+            for own, label in zip(tokens.forms, tokens.label):
+                for f in own:
+                    by_form.setdefault(f, Counter())[label] += 1
+            linked = set(tokens.chain)
+            for i, (label, own) in enumerate(zip(tokens.label, tokens.forms)):
+                others = {"skip": -1, "like": -1}
+                missed = False
+                for f in own:
+                    rest = by_form[f] - Counter([label])
+                    if rest:
+                        others[f[0]] = max(rest, key=lambda x: (rest[x], -x))
+                    missed |= not label and f[0] == "skip" and any(x for x in rest)
+                if missed:
                     continue  # what the base missed here it found elsewhere: no example of anything else
-                chain = marks[i + 1] if i + 1 < len(spots) and spots[i + 1][0] - e <= 4 else -1
-                rows.append((zlib.crc32(f"{k}:{b}".encode()), marks[i], features(text, b, e), chain, skips[i]))
+                before = tokens.label[i - 1] if i - 1 in linked else -1
+                after = tokens.label[i + 1] if i in linked else -1
+                rows.append((zlib.crc32(f"{k}:{tokens.spots[i][0]}".encode()), label, tokens.features(i), before, after, others["skip"], others["like"]))
         if rows:
-            types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32()]
+            types = [pa.int64(), pa.int32(), pa.list_(pa.int32()), *[pa.int32()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[f.split()[0] for f in _SAMPLE.split(", ")])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, passes: int = 120) -> Field:
-    """Fits the field to the ``sample`` tokens with the least hash of about SAMPLE_DOCS documents, chosen by hash: the unary weights by gradient, the pair weights by their counts."""
-    share = int(min(1.0, SAMPLE_DOCS / max(1, docs.count())) * 1_000_000)
-    docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    rows = docs.select("doc_id", "text").mapInArrow(words.trimmed(_labelled), _SAMPLE).orderBy("pick", "label").limit(sample).collect()
+def fitted(x: np.ndarray, y: np.ndarray, beside: dict[str, list[np.ndarray]], passes: int = 200, keep: float = 0.5) -> Field:
+    """The field of greatest penalised pseudo-likelihood, by gradient steps scaled to how often each weight is used.
+
+    ``beside`` has, for each kind of pair, the neighbours' labels of every
+    token, -1 where there is none.  Chain weights are symmetric; skip and like
+    have one weight each, for two labels that agree, whatever the label.  Each
+    pass sees a share ``keep`` of every token's features, else these explain the
+    labels alone and the pairs learn nothing; the features' weights are scaled
+    to match.
+    """
     k = len(LABELS)
     unary = np.zeros((HASHES, k))
-    pairs = {"chain": np.ones((k, k)), "skip": np.ones((k, k))}
-    single = np.ones(k)
-    if rows:
-        x = np.array([r["feature"] for r in rows])
-        y = np.array([r["label"] for r in rows])
-        np.add.at(single, y, 1)
-        seen = np.bincount(x.ravel(), minlength=HASHES)[:, None]
-        truth = np.eye(k)[y]
-        for _ in range(passes):
-            error = truth - _softmax(unary[x].sum(1))
-            step = np.zeros_like(unary)
-            for f in range(x.shape[1]):
-                np.add.at(step, x[:, f], error)
-            unary += 1.5 * (step - 0.02 * unary) / (seen + 4.0)
-        for name, table in pairs.items():
-            own = [(r["label"], r[name]) for r in rows if r[name] >= 0]
-            for (a, b), n in Counter(own).items():
-                table[a, b] += n / 2
-                table[b, a] += n / 2
-    rate = single / single.sum()
-    weights = []
-    for table in pairs.values():
-        joint = table / table.sum()
-        weights.append(np.clip(np.log(joint) - np.log(rate)[:, None] - np.log(rate)[None, :], -3.0, 3.0))
-    # a repeated token agrees with itself: its potential never favours two labels
-    weights[1] = np.where(np.eye(k, dtype=bool), np.maximum(weights[1], 2.0), np.minimum(weights[1], -2.0))
-    return Field(unary, *weights)
+    pairs = {name: np.zeros((k, k)) for name in _PAIRS}
+    if not len(y):
+        return Field(unary, *pairs.values())
+    seen = np.bincount(x.ravel(), minlength=HASHES)[:, None]
+    truth, rng = np.eye(k)[y], np.random.default_rng(11)
+    met = {name: sum(np.bincount(n[n >= 0], minlength=k) for n in beside[name]) for name in _PAIRS}
+    for _ in range(passes):
+        use = (rng.random(x.shape) < keep).astype(float)
+        score = (unary[x] * use[:, :, None]).sum(1)
+        for name in _PAIRS:
+            for n in beside[name]:
+                score += np.where((n >= 0)[:, None], pairs[name][:, n].T, 0.0)
+        error = truth - _softmax(score)
+        step = np.zeros_like(unary)
+        for f in range(x.shape[1]):
+            np.add.at(step, x[:, f], error * use[:, f, None])
+        unary += 1.2 * (step - 0.02 * unary) / (seen * keep + 4.0)
+        for name in _PAIRS:
+            slope = np.zeros((k, k))
+            for n in beside[name]:
+                some = n >= 0
+                np.add.at(slope, n[some], error[some])  # by the neighbour's label
+            if name == "chain":
+                slope = slope + slope.T
+                pairs[name] += 1.2 * (slope - 0.2 * pairs[name]) / (met[name][:, None] + met[name][None, :] + 20.0)
+            else:
+                weight = pairs[name][0, 0]
+                pairs[name] = np.eye(k) * max(0.0, weight + 4.0 * (np.trace(slope) - 0.02 * weight) / (met[name].sum() + 4.0))
+    return Field(unary * keep, *pairs.values())
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
+    """Fits the field to the ``sample`` tokens with the least hash of about SAMPLE_DOCS documents, chosen by hash."""
+    share = int(min(1.0, SAMPLE_DOCS / max(1, docs.count())) * 1_000_000)
+    docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(words.trimmed(_labelled), _SAMPLE).orderBy("pick", "label").limit(sample).collect()
+    of = lambda name: np.array([r[name] for r in rows], np.int64)
+    x = np.array([r["feature"] for r in rows], np.int64).reshape(-1, FEATURES)
+    return fitted(x, of("label"), {"chain": [of("before"), of("after")], "skip": [of("skip")], "like": [of("like")]})
 
 
 def _plausible(kind: int, token: str) -> bool:
@@ -291,26 +339,24 @@ def _plausible(kind: int, token: str) -> bool:
     )
 
 
-def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base's matches, and all spans with those that the field adds."""
-    if not text or not _ANY.search(text):
-        return [], []
-    base = base_spans(text)
-    spots = tokens(text)
-    p = field.marginals(text, spots, base)
-    added = []
-    for (b, e), own in zip(spots, p):
-        kind = int(own.argmax()) - 1
-        if kind >= 0 and own[kind + 1] >= SURE and _plausible(kind, text[b:e]):
-            added.append((b, kind, e))
-    cover = sorted(base)
-    fresh, j = [], 0
-    for b, kind, e in sorted(added):
-        while j < len(cover) and cover[j][2] <= b:
-            j += 1
-        if not any(s < e and b < t for s, _, t in cover[max(0, j - 8) : j + 8]):
-            fresh.append((b, kind, e))
-    return base, sorted(base + fresh)
+def all_spans(texts: list[str | None], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """For each text the base's matches, and all spans with those that the field adds."""
+    found: list[tuple[list, list]] = [([], []) for _ in texts]
+    some = [d for d, t in enumerate(texts) if t and _ANY.search(t)]
+    tokens = []
+    for d in some:
+        base = base_spans(texts[d])
+        found[d] = (base, base)
+        tokens.append(Tokens(texts[d], base))
+    for d, own, p in zip(some, tokens, field.marginals(tokens)):
+        base, fresh = found[d][0], []
+        kinds = p.argmax(1) - 1
+        for i in np.flatnonzero((kinds >= 0) & (p.max(1) >= SURE)).tolist():
+            b, e = own.spots[i]
+            if not own.label[i] and _plausible(int(kinds[i]), own.text[b:e]):  # a token without base label meets no base match
+                fresh.append((b, int(kinds[i]), e))
+        found[d] = (base, sorted(base + fresh))
+    return found
 
 
 def _told(spans: list[tuple[int, int, int]]) -> str:
@@ -321,17 +367,18 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
     Counts and digest are of the base's matches; spans adds the field's.
-    Places are code points, the end exclusive.  A null text is empty; repeated
-    rows each get a row; an empty table gives no rows; other columns are not read.
+    Places are code points, the end exclusive.  A null text is empty; very long
+    texts are searched whole and their tokens are one field; ties of kinds go in
+    the order of KINDS; repeated rows each get a row; an empty table gives no
+    rows; other columns are not read.
     """
     field = field or fit(docs)
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (p for batch in batches for p in words.parts(batch, 1, 1 << 20)):
             rows = []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                base, every = all_spans(text or "", field)
+            for k, (base, every) in zip(part.column(0).to_pylist(), all_spans(part.column(1).to_pylist(), field)):
                 count = Counter(kind for _, kind, _ in base)
                 rows.append((k, *(count[i] for i in range(4)), hashlib.sha256(_told(base).encode()).hexdigest(), _told(every), len(every) - len(base)))
             if rows:
@@ -351,15 +398,15 @@ def masked_text(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def mask(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """``docs`` with every span of its text replaced by its kind in brackets; all columns stay."""
+    """``docs`` with every span of its text replaced by its kind in brackets; all columns and rows stay, null texts stay null, overlapping spans become one."""
     field = field or fit(docs)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t if t is None else masked_text(t, all_spans(t, field)[1]) for t in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        for part in (p for batch in batches for p in words.parts(batch, at, 1 << 20)):
+            texts = part.column(at).to_pylist()
+            columns = list(part.columns)
+            columns[at] = pa.array([t if t is None else masked_text(t, every) for t, (_, every) in zip(texts, all_spans(texts, field))], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     return docs.mapInArrow(words.trimmed(run), docs.schema)
