@@ -1,13 +1,22 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-P(token | context) = P(class | context) * P(token | class).  Frequent tokens
-are classes of their own, the others are classed by their last bytes.  The
-class softmax has a bias and three hashed features of the context: the token
-before, the token before that (a skip), and the two together.  Its weights are
-trained by distributed gradient updates: each update is the gradient over one
-slice of the training documents, added up over all tasks and scaled by the
-curvature of each weight; the slices together are all training documents.  Weights are a table of
-fixed size.  Token counts are exact and gathered from the whole corpus.
+P(token | context) = P(class | context) * P(cell | class, context) * P(token | cell).
+Frequent tokens are classes of their own, the others are classed by their last
+bytes; a class of those is dealt into cells by hash.  Both softmaxes have a bias
+from the counts and hashed features of the context: the token before, the token
+before that (a skip) and, for the class, the two together; the cell's features
+are of the class as well.  Context words go by their identity, the frequent ones
+in rows of their own, the others hashed into a table whose size follows the
+number of distinct tokens up to a fixed bound.  Within a cell a token has its
+smoothed share of the counts.
+
+The weights are trained by distributed gradient updates: each update is the
+gradient over one slice of the training documents, scaled by the curvature of
+each weight; the slices together are all training documents.  Gradients of tasks
+are added up in a tree of bounded width, so that no task reads more than FAN of
+them however many there are.  Token counts are exact and gathered from the whole
+corpus, but that tokens are told apart by a 64-bit hash: two of n distinct ones
+share one with chance n * n / 2 ** 65.
 """
 
 from __future__ import annotations
@@ -18,6 +27,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +36,20 @@ from neartide.llm import words
 from neartide.llm.blocktable import Block, answered, block_table, cuts_of, gathered, pack, range_bits, rows_of, sent, unpack
 from neartide.plans.storage import materialize
 
-ENDINGS = 64  # classes of last bytes; the low bits of a token's hash name its ending
+ENDINGS = 64  # classes of last bytes
+CELLS = 32  # of a class of last bytes
 SINGLES = 64  # frequent tokens that are classes of their own
 KNOWN = 1024  # frequent tokens that are context features of their own
-PAIRS = 4096  # hashed features of two tokens
+OTHERS = (64, 4096)  # least and greatest number of rows that other context words are hashed into
+PAIRS = (4096, 16_384)  # the same for two tokens together
+CELL_ROWS = 8192  # hashed features of a class and a context word
 CLASSES = SINGLES + ENDINGS
 STEPS = 4
+CELL_PRIOR = 6.0  # counts that hold a cell's weight at nothing
 BATCH = 8192
+TASK_BYTES = 16 << 20  # text of one gradient task
+PIECE = 1 << 16  # numbers of one message of a gradient
+FAN = 32  # gradients that one task adds up
 
 END_KEY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -41,69 +59,91 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class _Tokens:
-    """A block's tokens in order, an end after each document: hashes whose low bits are the ending's class."""
+    """A block's tokens in order, an end after each document: hashes and the classes of their last bytes."""
 
     def __init__(self, block: Block):
         buf = words.lowered(block.buf)
         starts, ends = words.spans(buf)
         doc = np.searchsorted(block.begins, starts, "right") - 1
         last = buf[ends - 1].astype(np.uint64) | (np.where(ends - starts > 1, buf[ends - 2], 0).astype(np.uint64) << np.uint64(8)) if len(starts) else np.empty(0, np.uint64)
-        keys = words.hashes(buf, starts, ends) & ~np.uint64(ENDINGS - 1) | words.mix(last) % np.uint64(ENDINGS)
+        keys = words.hashes(buf, starts, ends)
         n = len(block.ids)
         count = np.bincount(doc, minlength=n)
         self.count = count + 1
         self.first = np.concatenate([[0], np.cumsum(self.count)[:-1]]) if n else np.empty(0, np.int64)
-        self.keys = np.empty(len(keys) + n, np.uint64)
+        self.keys, self.ending = np.empty(len(keys) + n, np.uint64), np.zeros(len(keys) + n, np.int64)
         where = np.arange(len(keys)) + doc
-        self.keys[where] = keys
+        self.keys[where], self.ending[where] = keys, (words.mix(last) % np.uint64(ENDINGS)).astype(np.int64)
         self.keys[self.first + count] = END_KEY
         self.doc = np.repeat(np.arange(n), self.count)
         self.held = np.array([held_out(None if e else int(k)) for k, e in zip(block.ids, block.null)], bool)
 
 
-def _counted(block: Block) -> tuple[np.ndarray, np.ndarray]:
+def _cell(keys: np.ndarray) -> np.ndarray:
+    return (words.mix(keys ^ np.uint64(0x5BD1E995)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _counted(block: Block) -> tuple[np.ndarray, ...]:
+    """The distinct tokens, how often training documents have them, and the classes of their last bytes."""
     tokens = _Tokens(block)
-    keys, inverse = np.unique(tokens.keys, return_inverse=True)
-    return keys, np.bincount(inverse[~tokens.held[tokens.doc]], minlength=len(keys)).astype(np.uint64)
+    keys, index, inverse = np.unique(tokens.keys, return_index=True, return_inverse=True)
+    return keys, np.bincount(inverse[~tokens.held[tokens.doc]], minlength=len(keys)).astype(np.uint64), tokens.ending[index].astype(np.uint64)
 
 
 def _summed(top: int):
     def reduce(bucket: int, keys: np.ndarray, values: np.ndarray, blks: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Kind 0: the answer to each block, its tokens' counts; 1: the range's most frequent tokens; 2: types and tokens of each ending."""
-        names, inverse = np.unique(keys, return_inverse=True)
+        """Kind 0: the answer to each block, its tokens' counts; 1: the range's most frequent tokens and their places; 2: types and tokens of each place, a class and cell."""
+        names, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
         total = np.zeros(len(names), np.int64)
         np.add.at(total, inverse, values[0].view(np.int64))
         mine = total[inverse]
         best = np.argsort(-total, kind="stable")[:top]
         best = best[total[best] > 0]
-        ending = (names % np.uint64(ENDINGS)).astype(np.int64)
-        types = np.bincount(ending[total > 0], minlength=ENDINGS)
-        sums = np.bincount(ending, weights=total, minlength=ENDINGS).astype(np.int64)
-        a, b, n = len(blks), len(best), len(blks) + len(best) + ENDINGS
-        empty = [None] * (n - a)
+        place = values[1].view(np.int64)[index] * CELLS + _cell(names)
+        types = np.bincount(place[total > 0], minlength=ENDINGS * CELLS)
+        sums = np.bincount(place, weights=total, minlength=ENDINGS * CELLS).astype(np.int64)
+        full = np.flatnonzero(types)
+        a, b, c = len(blks), len(best), len(full)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([0] * a + [1] * b + [2] * ENDINGS, pa.int8()), pa.array([*blks.tolist(), *empty], pa.int64()), pa.array([bucket] * n, pa.int32()),
-                pa.array([pack(mine[i:j]) for i, j in zip(bounds[:-1], bounds[1:])] + empty, pa.binary()),
-                pa.array([None] * a + names[best].view(np.int64).tolist() + list(range(ENDINGS)), pa.int64()),
-                pa.array([None] * a + total[best].tolist() + sums.tolist(), pa.int64()), pa.array([None] * (a + b) + types.tolist(), pa.int64()),
+                pa.array([0] * a + [1] * b + [2] * c, pa.int8()), pa.array([*blks.tolist(), *[None] * (b + c)], pa.int64()), pa.array([bucket] * (a + b + c), pa.int32()),
+                pa.array([pack(mine[i:j]) for i, j in zip(bounds[:-1], bounds[1:])] + [None] * (b + c), pa.binary()),
+                pa.array([None] * a + names[best].view(np.int64).tolist() + [None] * c, pa.int64()), pa.array([None] * a + place[best].tolist() + full.tolist(), pa.int64()),
+                pa.array([None] * a + total[best].tolist() + sums[full].tolist(), pa.int64()), pa.array([None] * (a + b) + types[full].tolist(), pa.int64()),
             ],
-            names=["kind", "blk", "bucket", "a", "key", "n", "types"],
+            names=["kind", "blk", "bucket", "a", "key", "place", "n", "types"],
         )
 
     return reduce
 
 
+_COUNTS = "kind byte, blk long, bucket int, a binary, key long, place long, n long, types long"
+
+
+def _log_softmax(weight: np.ndarray, features: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    x = weight[features[:, 0]]
+    for f in range(1, features.shape[1]):
+        x += weight[features[:, f]]
+    x += bias
+    x -= x.max(1, keepdims=True)
+    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    return x
+
+
 @dataclass
 class Model:
-    """Everything that scoring needs beside the counts; its size does not depend on the corpus."""
+    """Everything that scoring needs beside the counts; its size has a fixed bound."""
 
     known: np.ndarray  # the frequent tokens' hashes, rising
     rank: np.ndarray  # their ranks, 0 for the end
+    others: int
+    pairs: int
     bias: np.ndarray
     weight: np.ndarray
-    class_tokens: np.ndarray
-    class_types: np.ndarray
+    cell_bias: np.ndarray
+    cell_weight: np.ndarray
+    place_tokens: np.ndarray
+    place_types: np.ndarray
     n_tokens: int
     n_types: int
 
@@ -114,152 +154,205 @@ class Model:
         at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
         return np.where(self.known[at] == keys, self.rank[at], KNOWN)
 
-    def classes(self, keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        return np.where(rank < SINGLES, rank, SINGLES + (keys % np.uint64(ENDINGS)).astype(np.int64))
-
-    def features(self, tokens: _Tokens, rank: np.ndarray) -> np.ndarray:
-        """Rows of ``weight`` that are active for each token."""
-        word = np.where(rank < KNOWN, rank, KNOWN + (tokens.keys % np.uint64(ENDINGS)).astype(np.int64))
-        before = KNOWN + ENDINGS  # no token before
-        one = np.full(len(word), before)
-        one[1:] = word[:-1]
-        one[tokens.first] = before
-        two = np.full(len(word), before)
-        two[2:] = word[:-2]
-        two[tokens.first] = before
-        second = tokens.first[tokens.count > 1] + 1
-        two[second] = before
-        pair = (words.mix((one.astype(np.uint64) << np.uint64(32)) | two.astype(np.uint64)) % np.uint64(PAIRS)).astype(np.int64)
-        width = KNOWN + ENDINGS + 1
-        return np.stack([one, width + two, 2 * width + pair], 1)
-
-    @staticmethod
-    def rows() -> int:
-        return 2 * (KNOWN + ENDINGS + 1) + PAIRS
-
-    def log_softmax(self, features: np.ndarray) -> np.ndarray:
-        x = self.weight[features[:, 0]]
-        x += self.weight[features[:, 1]]
-        x += self.weight[features[:, 2]]
-        x += self.bias
-        x -= x.max(1, keepdims=True)
-        x -= np.log(np.exp(x).sum(1, keepdims=True))
-        return x
-
-
-def _gradient(table: DataFrame, model: Model, chunk: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Observed and expected counts of every (feature, class) over the training documents of ``table``."""
-    rows = Model.rows()
+    @property
+    def width(self) -> int:
+        return KNOWN + self.others + 1
+
+    def context(self, tokens: _Tokens, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The context words one and two places before each token, as rows."""
+        word = np.where(rank < KNOWN, rank, KNOWN + (words.mix(tokens.keys ^ np.uint64(0x27D4EB2F)) % np.uint64(self.others)).astype(np.int64))
+        before = KNOWN + self.others  # no token before
+        one, two = np.full(len(word), before), np.full(len(word), before)
+        one[1:], two[2:] = word[:-1], word[:-2]
+        one[tokens.first] = two[tokens.first] = before
+        two[tokens.first[tokens.count > 1] + 1] = before
+        return one, two
+
+    def features(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Rows of ``weight`` that are active in a context."""
+        pair = (words.mix((one.astype(np.uint64) << np.uint64(32)) | two.astype(np.uint64)) % np.uint64(self.pairs)).astype(np.int64)
+        return np.stack([one, self.width + two, 2 * self.width + pair], 1)
+
+    def cell_features(self, ending: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Rows of ``cell_weight`` that are active for a class of last bytes in a context."""
+        of = lambda word, side: (words.mix(((word * 2 + side) * ENDINGS + ending).astype(np.uint64)) % np.uint64(CELL_ROWS)).astype(np.int64)
+        return np.stack([of(one, 0), of(two, 1)], 1)
+
+
+def _add(total: np.ndarray, features: np.ndarray, p: np.ndarray) -> None:
+    for f in range(features.shape[1]):
+        order = np.argsort(features[:, f], kind="stable")
+        ids = features[order, f]
+        heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        total[ids[heads]] += np.add.reduceat(p[order], heads, axis=0)
+
+
+_PIECES = "at int, part int, data binary"
+
+
+def _gradient(table: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray, ...]:
+    """Observed and expected counts of every (feature, class) and (feature, cell) over the training documents of ``table``."""
+    shapes = [model.weight.shape, model.weight.shape, model.cell_weight.shape, model.cell_weight.shape]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, thought = np.zeros((rows, CLASSES), np.float32), np.zeros((rows, CLASSES), np.float32)
-        any_row = False
+        whole = np.zeros(sum(a * b for a, b in shapes), np.float32)
+        seen, thought, cell_seen, cell_thought = _split(whole, shapes)
+        some = False
         for row in rows_of(batches):
-            any_row = True
+            some = True
             tokens = _Tokens(Block(row))
             rank = model.ranks(tokens.keys)
+            one, two = model.context(tokens, rank)
             use = np.flatnonzero(~tokens.held[tokens.doc])
-            features, target = model.features(tokens, rank)[use], model.classes(tokens.keys, rank)[use]
-            for f in range(3):
-                seen += np.bincount(features[:, f] * CLASSES + target, minlength=rows * CLASSES).reshape(rows, CLASSES).astype(np.float32)
+            one, two, rank, ending = one[use], two[use], rank[use], tokens.ending[use]
+            target = np.where(rank < SINGLES, rank, SINGLES + ending)
             # equal contexts have equal expectations: one row each, times how often it is seen
-            code = features[:, 0] * (KNOWN + ENDINGS + 1) + (features[:, 1] - (KNOWN + ENDINGS + 1))
-            _, index, times = np.unique(code, return_index=True, return_counts=True)
-            distinct, times = features[index], times.astype(np.float32)
-            for i in range(0, len(distinct), BATCH):
-                part = distinct[i : i + BATCH]
-                p = np.exp(model.log_softmax(part))
-                p *= times[i : i + BATCH, None]
-                for f in range(3):
-                    order = np.argsort(part[:, f], kind="stable")
-                    ids = part[order, f]
-                    heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                    thought[ids[heads]] += np.add.reduceat(p[order], heads, axis=0)
-        if any_row:
-            for i in range(0, rows, chunk):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([seen[i : i + chunk].tobytes()], pa.binary()), pa.array([thought[i : i + chunk].tobytes()], pa.binary())], names=["at", "seen", "thought"])
+            _, index, inverse, times = np.unique(one * model.width + two, return_index=True, return_inverse=True, return_counts=True)
+            features = model.features(one[index], two[index])
+            for f in range(features.shape[1]):
+                cells, n = np.unique(features[inverse, f] * CLASSES + target, return_counts=True)
+                seen.reshape(-1)[cells] += n.astype(np.float32)
+            for i in range(0, len(index), BATCH):
+                p = np.exp(_log_softmax(model.weight, features[i : i + BATCH], model.bias))
+                p *= times[i : i + BATCH, None].astype(np.float32)
+                _add(thought, features[i : i + BATCH], p)
+            rest = np.flatnonzero(rank >= SINGLES)
+            cell = _cell(tokens.keys[use[rest]])
+            for i in range(0, len(rest), BATCH):
+                at = rest[i : i + BATCH]
+                features = model.cell_features(ending[at], one[at], two[at])
+                for f in range(features.shape[1]):
+                    np.add.at(cell_seen.reshape(-1), features[:, f] * CELLS + cell[i : i + BATCH], np.float32(1))
+                _add(cell_thought, features, np.exp(_log_softmax(model.cell_weight, features, model.cell_bias[ending[at]])))
+        if some:
+            part, press = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
+            for i in range(0, len(whole), PIECE):
+                piece = whole[i : i + PIECE]
+                if piece.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), pa.array([part], pa.int32()), pa.array([press.compress(piece.tobytes())], pa.binary())], names=["at", "part", "data"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list[np.ndarray]] = {}
+        """The sum of each piece's messages of one group of FAN parts; rows come in order of piece and part."""
+        key, held = None, None
+        press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([press.compress(held.astype(np.float32).tobytes())], pa.binary())], names=["at", "part", "data"])
+
         for row in rows_of(batches):
-            new = [np.frombuffer(row[k], np.float32).astype(np.float64) for k in ("seen", "thought")]
-            old = sums.setdefault(row["at"], [np.zeros(len(new[0])), np.zeros(len(new[0]))])
-            old[0] += new[0]
-            old[1] += new[1]
-        for at, (s, t) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([s.tobytes()], pa.binary()), pa.array([t.tobytes()], pa.binary())], names=["at", "seen", "thought"])
-
-    schema = "at int, seen binary, thought binary"
-    seen, thought = np.zeros((rows, CLASSES)), np.zeros((rows, CLASSES))
-    for r in table.mapInArrow(words.trimmed(run), schema).repartition("at").mapInArrow(words.trimmed(total), schema).toLocalIterator():
-        part = np.frombuffer(r["seen"]).reshape(-1, CLASSES)
-        seen[r["at"] : r["at"] + len(part)] = part
-        thought[r["at"] : r["at"] + len(part)] = np.frombuffer(r["thought"]).reshape(-1, CLASSES)
-    return seen, thought
+            mine = (row["at"], row["part"] // FAN)
+            if mine != key:
+                if key is not None:
+                    yield done()
+                key, held = mine, 0.0
+            held = held + np.frombuffer(unpress.decompress(row["data"]), np.float32).astype(np.float64)
+        if key is not None:
+            yield done()
+
+    sums = table.coalesce(tasks).mapInArrow(words.trimmed(run), _PIECES)
+    while tasks > 1:
+        sums = sums.repartition("at", F.floor(F.col("part") / FAN)).sortWithinPartitions("at", "part").mapInArrow(words.trimmed(total), _PIECES)
+        tasks = -(-tasks // FAN)
+    whole = np.zeros(sum(a * b for a, b in shapes), np.float32)
+    for r in sums.toLocalIterator():
+        piece = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), np.float32)
+        whole[r["at"] * PIECE : r["at"] * PIECE + len(piece)] += piece
+    return _split(whole, shapes)
+
+
+def _split(whole: np.ndarray, shapes: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    ends = np.cumsum([a * b for a, b in shapes])
+    return tuple(whole[e - a * b : e].reshape(a, b) for e, (a, b) in zip(ends, shapes))
+
+
+def _rows(types: int, bounds: tuple[int, int]) -> int:
+    """As many rows as a quarter of the types, a power of two within bounds."""
+    return int(np.clip(1 << max(0, types // 4).bit_length(), *bounds))
 
 
 def train(table: DataFrame, counts: DataFrame, steps: int = STEPS, rate: float = 0.8, prior: float = 4.0) -> Model:
-    spark = table.sparkSession
-    endings = {r["key"]: (r["t"], r["n"]) for r in counts.where("kind = 2").groupBy("key").agg(F.sum("types").alias("t"), F.sum("n").alias("n")).collect()}
-    top = counts.where("kind = 1").orderBy(F.desc("n"), "key").limit(KNOWN).select("key", "n").collect()
+    places = {r["place"]: (r["t"], r["n"]) for r in counts.where("kind = 2").groupBy("place").agg(F.sum("types").alias("t"), F.sum("n").alias("n")).collect()}
+    top = counts.where("kind = 1").orderBy(F.desc("n"), "key").limit(KNOWN).select("key", "n", "place").collect()
     keys = np.array([r["key"] for r in top], np.int64).view(np.uint64)
-    freq = np.array([r["n"] for r in top], np.int64)
+    freq, place = np.array([r["n"] for r in top], np.int64), np.array([r["place"] for r in top], np.int64)
     lead = np.argsort(keys != END_KEY, kind="stable")  # the end comes first
-    keys, freq = keys[lead], freq[lead]
-    tokens, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for e, (t, n) in endings.items():
-        types[SINGLES + e], tokens[SINGLES + e] = t, n
+    keys, freq, place = keys[lead], freq[lead], place[lead]
+    tokens, types = np.zeros(ENDINGS * CELLS, np.int64), np.zeros(ENDINGS * CELLS, np.int64)
+    for e, (t, n) in places.items():
+        types[e], tokens[e] = t, n
     n_types, n_tokens = int(types.sum()), int(tokens.sum())
-    for r, (k, n) in enumerate(zip(keys[:SINGLES], freq[:SINGLES])):
-        tokens[r], types[r] = n, 1
-        tokens[SINGLES + int(k % np.uint64(ENDINGS))] -= n
-        types[SINGLES + int(k % np.uint64(ENDINGS))] -= 1
+    np.add.at(tokens, place[:SINGLES], -freq[:SINGLES])
+    np.add.at(types, place[:SINGLES], -1)
+    of_class = np.zeros(CLASSES, np.int64)
+    of_class[: len(freq[:SINGLES])] = freq[:SINGLES]
+    of_class[SINGLES:] = tokens.reshape(ENDINGS, CELLS).sum(1)
     order = np.argsort(keys)
-    bias = np.log((tokens + 0.5) / (tokens.sum() + 0.5 * CLASSES)).astype(np.float32)
-    model = Model(keys[order], np.arange(len(keys))[order], bias, np.zeros((Model.rows(), CLASSES), np.float32), tokens, types, n_tokens, n_types)
-    present = sorted(r["slice"] for r in table.select("slice").distinct().collect())
+    bias = np.log((of_class + 0.5) / (of_class.sum() + 0.5 * CLASSES)).astype(np.float32)
+    cell_tokens = tokens.reshape(ENDINGS, CELLS)
+    cell_bias = np.log((cell_tokens + 0.5) / (cell_tokens.sum(1, keepdims=True) + 0.5 * CELLS)).astype(np.float32)
+    others, pairs = _rows(n_types, OTHERS), _rows(n_types, PAIRS)
+    weight = np.zeros((2 * (KNOWN + others + 1) + pairs, CLASSES), np.float32)
+    model = Model(keys[order], np.arange(len(keys))[order], others, pairs, bias, weight, cell_bias, np.zeros((CELL_ROWS, CELLS), np.float32), tokens, types, n_tokens, n_types)
+    present = sorted((r["slice"], r["size"]) for r in table.groupBy("slice").agg(F.sum("size").alias("size")).collect())
     for step in range(steps if present else 0):
-        seen, thought = _gradient(table.where(F.col("slice") == present[step % len(present)]), model)
-        move = (seen - thought - 0.01 * model.weight) / (0.5 * (seen + thought) + prior)
-        model.weight += (rate * np.clip(move, -1.5, 1.5)).astype(np.float32) * (1.0 if step == 0 else 0.7)
+        number, size = present[step % len(present)]
+        seen, thought, cell_seen, cell_thought = _gradient(table.where(F.col("slice") == number), model, max(1, -(-size // TASK_BYTES)))
+        for w, s, t in ((model.weight, seen, thought), (model.cell_weight, cell_seen, cell_thought)):
+            move = (s - t - 0.01 * w) / (0.5 * (s + t) + (prior if w is model.weight else CELL_PRIOR))
+            w += (rate * np.clip(move, -1.5, 1.5)).astype(np.float32) * (1.0 if step == 0 else 0.7)
     return model
 
 
+def learned(docs: DataFrame, steps: int = STEPS) -> tuple[DataFrame, int, DataFrame, Model]:
+    """The block table, the bits that name a hash range, the counts and the model of ``docs``."""
+    table = block_table(docs, limit=4 << 20, slices=steps, tag="maxent")
+    bits = range_bits(table, 60.0)
+    counts = materialize(gathered(sent(table, bits, _counted), _summed(KNOWN), _COUNTS), "maxent-counts")
+    return table, bits, counts, train(table, counts, steps)
+
+
 def score(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
     Scores are log10 probabilities of the whole text.  The documents for which
     crc32(doc_id) mod 5 is not 1 are learned from; a null doc_id counts as the
-    empty string.  A null, empty or wordless text is one end.  Tokens never
-    seen share the place of one more token, in all and in each class, as in the
-    base.  Repeated rows count as often as they are there; an empty table gives
+    empty string.  A null, empty or wordless text is one end; very long texts
+    are scored whole.  Tokens never seen share the place of one more token, in
+    all and in each cell, as in the base.  Frequent tokens that tie are ranked
+    by their hash.  Repeated rows count as often as they are there; an empty table gives
     no rows; other columns are not read.
     """
-    table = block_table(docs, limit=4 << 20, slices=steps, tag="maxent")
-    bits = range_bits(table, 60.0)
-    counts = materialize(gathered(sent(table, bits, _counted), _summed(KNOWN), "kind byte, blk long, bucket int, a binary, key long, n long, types long"), "maxent-counts")
-    model = train(table, counts, steps)
+    table, bits, counts, model = learned(docs, steps)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def finish(block: Block, held: list[dict]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(block)
-        names, inverse = np.unique(tokens.keys, return_inverse=True)
+        names, index, inverse = np.unique(tokens.keys, return_index=True, return_inverse=True)
         total, cuts = np.zeros(len(names), np.int64), cuts_of(names, bits)
         for h in held:
             total[cuts[h["bucket"]] : cuts[h["bucket"] + 1]] = unpack(h["a"]).view(np.int64)
         n_docs = len(block.ids)
         base = np.log10((total + 0.5) / (model.n_tokens + 0.5 * (model.n_types + 1)))
-        rank = model.ranks(names)
-        kind = model.classes(names, rank)
-        within = np.log10((total + 0.5) / (model.class_tokens[kind] + 0.5 * (model.class_types[kind] + 1)))
-        # a class of one token has no room for others: they are classed by their ending
-        within[kind < SINGLES] = 0.0
-        features = model.features(tokens, rank[inverse])
-        target = kind[inverse]
+        rank, ending, cell = model.ranks(names), tokens.ending[index], _cell(names)
+        place = ending * CELLS + cell
+        within = np.log10((total + 0.5) / (model.place_tokens[place] + 0.5 * (model.place_types[place] + 1)))
+        within[rank < SINGLES] = 0.0  # a class of one token has no room for others: they are classed by their ending
+        target = np.where(rank < SINGLES, rank, SINGLES + ending)[inverse]
+        one, two = model.context(tokens, rank[inverse])
+        _, index, context = np.unique(one * model.width + two, return_index=True, return_inverse=True)
+        order = np.argsort(context, kind="stable")
+        starts = np.searchsorted(context[order], np.arange(0, len(index) + BATCH, BATCH))
         chosen = np.empty(len(target))
-        for i in range(0, len(target), BATCH):
-            part = model.log_softmax(features[i : i + BATCH])
-            chosen[i : i + BATCH] = part[np.arange(len(part)), target[i : i + BATCH]]
+        for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
+            at = index[i * BATCH : (i + 1) * BATCH]
+            part, use = _log_softmax(model.weight, model.features(one[at], two[at]), model.bias), order[a:b]
+            chosen[use] = part[context[use] - i * BATCH, target[use]]
+        rest = np.flatnonzero(target >= SINGLES)
+        for i in range(0, len(rest), BATCH):
+            at = rest[i : i + BATCH]
+            kind = target[at] - SINGLES
+            part = _log_softmax(model.cell_weight, model.cell_features(kind, one[at], two[at]), model.cell_bias[kind])
+            chosen[at] += part[np.arange(len(at)), cell[inverse[at]]]
         per = lambda x: np.bincount(tokens.doc, weights=x, minlength=n_docs)
         yield pa.RecordBatch.from_arrays(
             [
