@@ -8,7 +8,8 @@ before that (a skip) and, for the class, the two together; the cell's features
 are of the class as well.  Context words go by their identity, the frequent ones
 in rows of their own, the others hashed into a table whose size follows the
 number of distinct tokens up to a fixed bound.  Within a cell a token has its
-smoothed share of the counts.
+smoothed share of the counts.  Two words together go by their last bytes where
+they are not frequent.
 
 The weights are trained by distributed gradient updates: each update is the
 gradient over one slice of the training documents, scaled by the curvature of
@@ -37,18 +38,18 @@ from neartide.llm.blocktable import Block, answered, block_table, cuts_of, gathe
 from neartide.plans.storage import materialize
 
 ENDINGS = 64  # classes of last bytes
-CELLS = 32  # of a class of last bytes
+CELLS = 16  # of a class of last bytes
 SINGLES = 64  # frequent tokens that are classes of their own
 KNOWN = 1024  # frequent tokens that are context features of their own
-OTHERS = (64, 4096)  # least and greatest number of rows that other context words are hashed into
-PAIRS = (4096, 16_384)  # the same for two tokens together
+OTHERS = (64, 2048)  # least and greatest number of rows that other context words are hashed into
+PAIRS = (4096, 8192)  # the same for two tokens together
 CELL_ROWS = 8192  # hashed features of a class and a context word
 CLASSES = SINGLES + ENDINGS
 STEPS = 4
 CELL_PRIOR = 6.0  # counts that hold a cell's weight at nothing
-BATCH = 8192
+BATCH = 1024
 TASK_BYTES = 16 << 20  # text of one gradient task
-PIECE = 1 << 16  # numbers of one message of a gradient
+PIECE = 1 << 14  # numbers of one message of a gradient
 FAN = 32  # gradients that one task adds up
 
 END_KEY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -160,7 +161,8 @@ class Model:
 
     def context(self, tokens: _Tokens, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The context words one and two places before each token, as rows."""
-        word = np.where(rank < KNOWN, rank, KNOWN + (words.mix(tokens.keys ^ np.uint64(0x27D4EB2F)) % np.uint64(self.others)).astype(np.int64))
+        own = self.others // ENDINGS  # rows that the other words of one ending are hashed into
+        word = np.where(rank < KNOWN, rank, KNOWN + tokens.ending * own + (words.mix(tokens.keys ^ np.uint64(0x27D4EB2F)) % np.uint64(own)).astype(np.int64))
         before = KNOWN + self.others  # no token before
         one, two = np.full(len(word), before), np.full(len(word), before)
         one[1:], two[2:] = word[:-1], word[:-2]
@@ -170,9 +172,14 @@ class Model:
 
     def features(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Rows of ``weight`` that are active in a context."""
-        pair = (words.mix((one.astype(np.uint64) << np.uint64(32)) | two.astype(np.uint64)) % np.uint64(self.pairs)).astype(np.int64)
+        a, b = self._coarse(one), self._coarse(two)
+        pair = (words.mix((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)) % np.uint64(self.pairs)).astype(np.int64)
         return np.stack([one, self.width + two, 2 * self.width + pair], 1)
 
+    def _coarse(self, word: np.ndarray) -> np.ndarray:
+        """A row's word if it is frequent, else its ending, or no word at all."""
+        return np.where(word < KNOWN, word, KNOWN + (word - KNOWN) // (self.others // ENDINGS))
+
     def cell_features(self, ending: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Rows of ``cell_weight`` that are active for a class of last bytes in a context."""
         of = lambda word, side: (words.mix(((word * 2 + side) * ENDINGS + ending).astype(np.uint64)) % np.uint64(CELL_ROWS)).astype(np.int64)
@@ -210,8 +217,7 @@ def _gradient(table: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray, .
             _, index, inverse, times = np.unique(one * model.width + two, return_index=True, return_inverse=True, return_counts=True)
             features = model.features(one[index], two[index])
             for f in range(features.shape[1]):
-                cells, n = np.unique(features[inverse, f] * CLASSES + target, return_counts=True)
-                seen.reshape(-1)[cells] += n.astype(np.float32)
+                seen.reshape(-1)[:] += np.bincount(features[inverse, f] * CLASSES + target, minlength=seen.size)
             for i in range(0, len(index), BATCH):
                 p = np.exp(_log_softmax(model.weight, features[i : i + BATCH], model.bias))
                 p *= times[i : i + BATCH, None].astype(np.float32)
@@ -226,10 +232,12 @@ def _gradient(table: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray, .
                 _add(cell_thought, features, np.exp(_log_softmax(model.cell_weight, features, model.cell_bias[ending[at]])))
         if some:
             part, press = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
-            for i in range(0, len(whole), PIECE):
-                piece = whole[i : i + PIECE]
-                if piece.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), pa.array([part], pa.int32()), pa.array([press.compress(piece.tobytes())], pa.binary())], names=["at", "part", "data"])
+            for i in range(0, len(whole), 16 * PIECE):
+                pieces = [whole[j : j + PIECE] for j in range(i, min(i + 16 * PIECE, len(whole)), PIECE)]
+                full = [n for n, piece in enumerate(pieces) if piece.any()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i // PIECE + n for n in full], pa.int32()), pa.array([part] * len(full), pa.int32()), pa.array([press.compress(pieces[n].tobytes()) for n in full], pa.binary())], names=["at", "part", "data"]
+                )
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sum of each piece's messages of one group of FAN parts; rows come in order of piece and part."""

@@ -32,8 +32,9 @@ def test_scores_are_those_of_a_distribution(spark, monkeypatch):
         return int(model.ranks(key)[0]), key, ending, int(maxent._cell(key)[0])
 
     def context_row(word):
-        rank, key, _, _ = parts(word)
-        return rank if rank < maxent.KNOWN else maxent.KNOWN + int(words.mix(key ^ np.uint64(0x27D4EB2F))[0] % np.uint64(model.others))
+        rank, key, ending, _ = parts(word)
+        own = model.others // maxent.ENDINGS
+        return rank if rank < maxent.KNOWN else maxent.KNOWN + ending * own + int(words.mix(key ^ np.uint64(0x27D4EB2F))[0] % np.uint64(own))
 
     def log10(word, before):
         none = maxent.KNOWN + model.others
