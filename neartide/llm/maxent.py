@@ -314,7 +314,7 @@ def train(table: DataFrame, counts: DataFrame, steps: int = STEPS, rate: float =
 def learned(docs: DataFrame, steps: int = STEPS) -> tuple[DataFrame, int, DataFrame, Model]:
     """The block table, the bits that name a hash range, the counts and the model of ``docs``."""
     table = block_table(docs, limit=4 << 20, slices=steps, tag="maxent")
-    bits = range_bits(table, 60.0)
+    bits = range_bits(table, 20.0)
     counts = materialize(gathered(sent(table, bits, _counted), _summed(KNOWN), _COUNTS), "maxent-counts")
     return table, bits, counts, train(table, counts, steps)
 
