@@ -20,10 +20,10 @@ SLOTS = 8192
 
 
 def measured(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of every row.
+    """doc_id, size, text_crc32, virtual_slot and a number of every row.
 
     A null text has no bytes (size 8, checksum 0).  Rows without doc_id are
-    spread over the slots by their text, so that they cannot fill one slot.
+    spread over the slots by their text.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     crc = F.crc32(text.cast("binary"))
@@ -32,9 +32,24 @@ def measured(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         (F.octet_length(text) + 8).cast("long").alias("size"),
         crc.alias("text_crc32"),
         F.pmod(F.xxhash64(F.col("doc_id"), F.when(F.col("doc_id").isNull(), crc)), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
+def spread(rows: DataFrame, weight: np.ndarray, shards: int) -> DataFrame:
+    """``rows`` with those of hot slots hashed into all slots one by one.
+
+    A slot is hot if it has more than a sixteenth of a shard's bytes, as where
+    one doc_id has a third of all rows; a map alone could not even that out.
+    """
+    slots = len(weight)
+    hot = np.flatnonzero(weight * shards * 16 > weight.sum())  # fewer than shards * 16
+    if not len(hot):
+        return rows
+    anew = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(slots)).cast("int")
+    return rows.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(hot.tolist()), anew).otherwise(F.col("virtual_slot")))
+
+
 def slot_totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
 
@@ -89,19 +104,26 @@ def map_table(spark: SparkSession, versions: list[np.ndarray]) -> DataFrame:
     return materialize(spark.createDataFrame(rows, "version int, virtual_slot int, shard int"), "slotmap")
 
 
+def _collected(rows: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    weight, count = np.zeros(slots), np.zeros(slots, np.int64)
+    for r in slot_totals(rows).collect():  # at most one row per slot
+        weight[r["virtual_slot"]], count[r["virtual_slot"]] = r["bytes"], r["rows"]
+    return weight, count
+
+
 def assign(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
     """Every row of ``docs`` with its shard and its place there, by bytes.
 
     Returns doc_id, size, text_crc32, law, shard, slot (place in the shard, from
-    0 without gaps), grown_shard (null), virtual_slot and map_version.  Ties and
-    repeated rows get places of their own; an empty table gives no rows; other
-    columns of ``docs`` are not read.
+    0 without gaps), grown_shard (null), virtual_slot and map_version.  Null ids
+    and texts, ties and repeated rows get places of their own, also where one
+    doc_id has most rows; a very long text is one row of its size; an empty
+    table gives no rows; other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     rows = materialize(measured(docs, slots), "slots")
-    weight, count = np.zeros(slots), np.zeros(slots, np.int64)
-    for r in slot_totals(rows).collect():  # at most one row per slot
-        weight[r["virtual_slot"]], count[r["virtual_slot"]] = r["bytes"], r["rows"]
+    rows = spread(rows, _collected(rows, slots)[0], shards)
+    weight, count = _collected(rows, slots)
     versions = [first_map(slots, shards)]
     versions.append(rebalanced(versions[0], weight, shards))
     stored = map_table(spark, versions)
@@ -112,7 +134,7 @@ def assign(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
         before[own] = np.cumsum(count[own]) - count[own]
     places = spark.createDataFrame([(s, int(b)) for s, b in enumerate(before)], "virtual_slot int, before long")
     where = F.broadcast(stored.where(F.col("version") == len(versions)).join(places, "virtual_slot"))
-    order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    order = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "row")
     return (
         rows.withColumn("n", F.row_number().over(order) - 1)
         .join(where, "virtual_slot")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from neartide.llm import words
 from neartide.operators.components import connected_components
-from neartide.plans.storage import materialize
+from neartide.plans.storage import materialize, numbered
 
 RADIUS = 3
 PARTS = 4
@@ -217,7 +217,7 @@ def classes(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed: int = 4
     reach; copies counts the rows with the same fingerprint.  Null and wordless
     texts have fingerprint zero and are linked like any other; a null doc_id
     keeps its row and is never the least unless its class has no other.
-    Repeated rows are kept; an empty table gives no rows.
+    Very long texts are hashed whole; repeated rows are kept; an empty table gives no rows.
     """
     prints = materialize(fingerprints(docs, width, seed), "prints")
     least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "distinct")
@@ -231,8 +231,14 @@ def classes(docs: DataFrame, radius: int = RADIUS, width: int = 3, seed: int = 4
 def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, the one with the least doc_id.
 
-    Rows without doc_id stay.  Rows that repeat a doc_id count as copies of it.
+    Classes are of rows, whatever their doc_id: rows that share one but not a
+    class all stay.  A row without doc_id stays only where its class has no
+    other; among equals the first row stays.  Null, empty and wordless texts are
+    one class; an empty table gives no rows; columns of any name stay.
     """
-    kept = classes(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    name = words.unused(docs.columns, "row")
+    whole = numbered(docs, name)
+    rows = whole.select(F.col(f"`{name}`").alias("row"), F.col("doc_id").cast("long").alias("own"))
+    found = classes(whole.select(F.col(f"`{name}`").alias("doc_id"), "text"), radius).select(F.col("doc_id").alias("row"), "component_id")
+    best = rows.join(found, "row").groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "row")).alias("best"))
+    return whole.join(best.select(F.col("best.row").alias(name)), name, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])
