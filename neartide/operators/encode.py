@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from neartide.functions.sequence import HASH_RANGE, portable_hash, reverse_complement
 
@@ -43,6 +46,15 @@ def kmers(reads: DataFrame, k: int, step: int = 1) -> DataFrame:
     return reads.select("read_id", "sequence").mapInArrow(run, "read_id long, pos long, kmer string")
 
 
+STRETCH = 1 << 16  # places of a sequence that are worked on at once
+
+
+def _stretches(seq: str, k: int) -> Iterator[str]:
+    """Parts of a sequence that together have each of its runs of k characters once."""
+    for first in range(0, len(seq) - k + 1, STRETCH):
+        yield seq[first : first + STRETCH + k - 1]
+
+
 def feature_counts(tokens: DataFrame, feature: str) -> DataFrame:
     return tokens.groupBy("read_id", F.col(feature).alias("feature_id")).agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -61,9 +73,29 @@ def with_document_frequency(features: DataFrame, least: int, most: int | None =
 
 
 def hashed_kmers(reads: DataFrame, k: int, fraction: float, seed: int, min_multiplicity: int = 1) -> DataFrame:
-    """Counts of the k-mers whose hash is in the lowest ``fraction``; the hash is the feature's id."""
-    kept = kmers(reads, k).select("read_id", portable_hash(F.col("kmer"), seed).alias("h")).where(F.col("h") <= int(fraction * HASH_RANGE))
-    counts = feature_counts(kept, "h")
+    """Counts of the k-mers whose hash is in the lowest ``fraction``; the hash is the feature's id.
+
+    Hashed, kept and counted a stretch of a read at a time, so that only kept
+    features become rows.
+    """
+    start, limit = f"{seed}:".encode(), int(fraction * HASH_RANGE)
+    top = (((limit << 4) | 15) + 1).to_bytes(9, "big")[1:] if limit < HASH_RANGE - 1 else b"\xff" * 9  # digests of hashes up to the limit are below this
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        md5 = hashlib.md5
+        for batch in batches:
+            for rid, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for piece in _stretches(seq or "", k):
+                    plain = piece.isascii()
+                    text = piece.encode() if plain else piece
+                    n = len(text) - k + 1
+                    digests = (md5(start + (text[i : i + k] if plain else text[i : i + k].encode())).digest() for i in range(n))
+                    count = Counter(int.from_bytes(d[:8], "big") >> 4 for d in digests if d < top)
+                    if count:
+                        yield pa.RecordBatch.from_arrays([pa.array([rid] * len(count), pa.int64()), pa.array(count.keys(), pa.int64()), pa.array(count.values(), pa.int64())], names=["read_id", "feature_id", "cnt"])
+
+    parts = reads.select(F.col("read_id").cast("long").alias("read_id"), "sequence").mapInArrow(run, "read_id long, feature_id long, cnt long")
+    counts = parts.groupBy("read_id", "feature_id").agg(F.sum("cnt").alias("cnt"))
     return with_multiplicity(counts, min_multiplicity) if min_multiplicity > 1 else counts
 
 
@@ -97,14 +129,33 @@ def minimizers(reads: DataFrame, k: int, w: int, seed: int, every_window: bool =
     """(read_id, kmer, cnt) of the least-hash k-mer of each window of w k-mers, the leftmost among equals.
 
     A minimizer counts once while it stays the minimum; with ``every_window`` it
-    counts for each window.  Reads with fewer than w k-mers have none.
+    counts for each window.  Reads with fewer than w k-mers have none.  A window
+    never leaves its read, so a read is done by one task, a stretch at a time
+    with the minimum before it kept, and nothing is shuffled but counts.
     """
-    by_read = Window.partitionBy("read_id").orderBy("pos")
-    hashed = kmers(reads, k).withColumn("h", portable_hash(F.col("kmer"), seed))
-    least = hashed.withColumn("m", F.min(F.struct("h", "pos", "kmer")).over(by_read.rowsBetween(-(w - 1), 0))).where(F.col("pos") >= w - 1)
-    if not every_window:
-        least = least.withColumn("was", F.lag("m.pos").over(by_read)).where("was is null or was <> m.pos")
-    return least.groupBy("read_id", F.col("m.kmer").alias("kmer")).agg(F.count(F.lit(1)).alias("cnt"))
+    start = f"{seed}:".encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        md5 = hashlib.md5
+        for batch in batches:
+            for rid, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                was, base = -1, 0
+                for piece in _stretches(seq or "", k + w - 1):
+                    n = len(piece) - k + 1
+                    if n >= w:
+                        hashed = np.array([int.from_bytes(md5(start + piece[i : i + k].encode()).digest()[:8], "big") >> 4 for i in range(n)], np.int64)
+                        at = sliding_window_view(hashed, w).argmin(1) + np.arange(n - w + 1)  # the leftmost among equals
+                        if not every_window:
+                            new = np.ones(len(at), bool)
+                            new[1:] = at[1:] != at[:-1]
+                            new[0] = at[0] + base != was
+                            was, at = int(at[-1]) + base, at[new]
+                        count = Counter(piece[i : i + k] for i in at.tolist())
+                        if count:
+                            yield pa.RecordBatch.from_arrays([pa.array([rid] * len(count), pa.int64()), pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names=["read_id", "kmer", "cnt"])
+                    base += STRETCH
+
+    return reads.select(F.col("read_id").cast("long").alias("read_id"), "sequence").mapInArrow(run, "read_id long, kmer string, cnt long").groupBy("read_id", "kmer").agg(F.sum("cnt").alias("cnt"))
 
 
 def words(docs: DataFrame, text: Column | None = None) -> DataFrame:

@@ -137,8 +137,19 @@ def sparse_topk(weights: DataFrame, k: int, metric: str = "cosine", reference: D
 
 def dense_topk(vectors: DataFrame, k: int, metric: str = "cosine", reference: DataFrame | None = None, include_self: bool = False, digits: int = 6, block: int = 16_384) -> DataFrame:
     """Exact neighbours of dense vectors (read_id, vector): blocks of the reference are held, the queries stream past each."""
+    return top_k(_dense(vectors, k, metric, reference, include_self, digits, block), k, ascending=metric == "euclidean")
+
+
+def dense_within(vectors: DataFrame, limit: float, metric: str = "cosine", digits: int = 6, block: int = 16_384) -> DataFrame:
+    """(read_id, neighbor_id, score) of all pairs whose score is above ``limit``, or for euclidean below; the block kernel drops all others."""
+    return _dense(vectors, None, metric, None, False, digits, block, limit)
+
+
+def _dense(vectors: DataFrame, k: int | None, metric: str, reference: DataFrame | None, include_self: bool, digits: int, block: int, limit: float = 0.0) -> DataFrame:
     other = vectors if reference is None else reference
-    blocks = max(1, -(-other.count() // block))
+    # small tables are cut too, so that several tasks have a block
+    n, cores = other.count(), other.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // block), min(cores, n // 512))
     held = other.select(F.pmod(F.xxhash64("read_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).cast("byte").alias("side"), F.col("read_id").cast("long"), F.col("vector").cast("array<double>"))
     asked = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).cast("byte").alias("side"), F.col("read_id").cast("long"), F.col("vector").cast("array<double>"))
 
@@ -179,15 +190,30 @@ def dense_topk(vectors: DataFrame, k: int, metric: str = "cosine", reference: Da
                     score = np.round(score, digits) + 0.0
                     if not include_self:
                         score[name[a : a + 256][:, None] == names[None, :]] = np.inf
-                    best = np.argsort(score, axis=1, kind="stable")[:, :k]
-                    value = np.take_along_axis(score, best, 1)
-                    keep = np.isfinite(value)
+                    if k is None:
+                        keep = np.isfinite(score) & (score < (limit if metric == "euclidean" else -limit))
+                        best, value = np.broadcast_to(np.arange(len(names))[None, :], score.shape), score
+                    else:
+                        best, value = _least(score, k)
+                        keep = np.isfinite(value)
                     q = np.broadcast_to(name[a : a + 256][:, None], best.shape)[keep]
                     out = value[keep] if metric == "euclidean" else -value[keep] + 0.0
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(names[best[keep]]), pa.array(out)], names=["read_id", "neighbor_id", "score"])
 
-    found = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "side").mapInArrow(run, "read_id long, neighbor_id long, score double")
-    return top_k(found, k, ascending=metric == "euclidean")
+    return held.unionByName(asked).repartition("block").sortWithinPartitions("block", "side").mapInArrow(run, "read_id long, neighbor_id long, score double")
+
+
+def _least(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of the k least scores of each row, the first among equals, and the scores."""
+    if 4 * k >= score.shape[1]:
+        best = np.argsort(score, axis=1, kind="stable")[:, :k]
+        return best, np.take_along_axis(score, best, 1)
+    edge = np.partition(score, k - 1, axis=1)[:, k - 1 : k]
+    # everything below the k-th least, and of those that tie with it the first
+    below = score < edge
+    tied = (score == edge) & (np.cumsum(score == edge, axis=1) <= k - below.sum(1, keepdims=True))
+    best = np.nonzero(below | tied)[1].reshape(len(score), k)
+    return best, np.take_along_axis(score, best, 1)
 
 
 # ---- merging and sketches
@@ -226,7 +252,8 @@ def hamming(a: Column, b: Column) -> Column:
 def hamming_topk(sketches: DataFrame, k: int, reference: DataFrame | None = None, block: int = 16_384) -> DataFrame:
     """Exact neighbours by differing bits, in blocks."""
     other = sketches if reference is None else reference
-    blocks = max(1, -(-other.count() // block))
+    n, cores = other.count(), other.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // block), min(cores, n // 2048))
     held = other.select(F.pmod(F.xxhash64("read_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).cast("byte").alias("side"), F.col("read_id").cast("long"), "sketch")
     asked = sketches.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).cast("byte").alias("side"), F.col("read_id").cast("long"), "sketch")
 
@@ -256,8 +283,7 @@ def hamming_topk(sketches: DataFrame, k: int, reference: DataFrame | None = None
                     for p in range(ref.shape[1]):
                         apart += np.bitwise_count(x[a : a + 64, p][:, None] ^ ref[:, p][None, :])
                     apart[name[a : a + 64][:, None] == names[None, :]] = 1 << 30
-                    best = np.argsort(apart, axis=1, kind="stable")[:, :k]
-                    value = np.take_along_axis(apart, best, 1)
+                    best, value = _least(apart, k)
                     keep = value < 1 << 30
                     q = np.broadcast_to(name[a : a + 64][:, None], best.shape)[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(names[best[keep]]), pa.array(value[keep])], names=["read_id", "neighbor_id", "distance"])
@@ -304,15 +330,29 @@ def bucket_neighbors(buckets: DataFrame, k: int, min_bucket: int = 2, max_bucket
     return top_k(counted, k)
 
 
-def lsh_topk(vectors: DataFrame, k: int, tables: int = 24, bucket_length: float = 0.6, distance: float = 2.0, seed: int = 11) -> DataFrame:
-    """Approximate euclidean neighbours from bucketed random projections."""
+def lsh_topk(vectors: DataFrame, k: int, tables: int = 24, bucket_length: float = 0.6, distance: float = 2.0, seed: int = 11, metric: str = "euclidean", reference: DataFrame | None = None) -> DataFrame:
+    """Approximate neighbours from bucketed random projections, by euclidean distance or by cosine, for which vectors are scaled to length one first."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    data = vectors.select("read_id", array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
+    if metric not in ("euclidean", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}")
+
+    def prepared(rows: DataFrame) -> DataFrame:
+        v = F.col("vector").cast("array<double>")
+        if metric == "cosine":
+            length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+            rows = rows.where(length > 0)
+            v = F.transform(v, lambda x: x / length)
+        return rows.select("read_id", array_to_vector(v).alias("v"))
+
+    data = prepared(vectors)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", numHashTables=tables, bucketLength=bucket_length, seed=seed).fit(data)
-    pairs = model.approxSimilarityJoin(data, data, distance, "score").where("datasetA.read_id <> datasetB.read_id")
-    return top_k(pairs.select(F.col("datasetA.read_id").alias("read_id"), F.col("datasetB.read_id").alias("neighbor_id"), rounded(F.col("score")).alias("score")), k, ascending=True)
+    pairs = model.approxSimilarityJoin(data, data if reference is None else prepared(reference), distance, "score")
+    if reference is None:
+        pairs = pairs.where("datasetA.read_id <> datasetB.read_id")
+    score = F.col("score") if metric == "euclidean" else 1 - F.col("score") * F.col("score") / 2
+    return top_k(pairs.select(F.col("datasetA.read_id").alias("read_id"), F.col("datasetB.read_id").alias("neighbor_id"), rounded(score).alias("score")), k, ascending=metric == "euclidean")
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -427,30 +467,57 @@ def rp_forest_candidates(vectors: DataFrame, trees: int = 10, leaf: int = 50, sa
     return rows.mapInArrow(run, "read_id long, repeat int, feature_id long")
 
 
-def scored_pairs(pairs: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Scores candidate pairs (read_id, neighbor_id) by cosine and keeps the k best."""
+def scored_pairs(pairs: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", reference: DataFrame | None = None) -> DataFrame:
+    """Scores candidate pairs (read_id, neighbor_id) by cosine or euclidean distance and keeps the k best."""
     v = vectors.select("read_id", F.col("vector").cast("array<double>").alias("va"))
-    w = vectors.select(F.col("read_id").alias("neighbor_id"), F.col("vector").cast("array<double>").alias("vb"))
+    w = (vectors if reference is None else reference).select(F.col("read_id").alias("neighbor_id"), F.col("vector").cast("array<double>").alias("vb"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     both = pairs.join(v, "read_id").join(w, "neighbor_id")
-    score = dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
-    return top_k(both.select("read_id", "neighbor_id", rounded(score).alias("score")), k)
+    if metric == "euclidean":
+        score = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    elif metric == "cosine":
+        score = dot(F.col("va"), F.col("vb")) / F.sqrt(dot(F.col("va"), F.col("va")) * dot(F.col("vb"), F.col("vb")))
+    else:
+        raise ValueError(f"unknown metric {metric!r}")
+    return top_k(both.select("read_id", "neighbor_id", rounded(score).alias("score")), k, ascending=metric == "euclidean")
 
 
-def rp_forest_topk(vectors: DataFrame, k: int, trees: int = 10, leaf: int = 50, seed: int = 71) -> DataFrame:
-    leaves = rp_forest_candidates(vectors, trees, leaf, seed=seed)
-    pairs = leaves.join(leaves.withColumnRenamed("read_id", "neighbor_id"), ["repeat", "feature_id"]).where("read_id <> neighbor_id").select("read_id", "neighbor_id").distinct()
-    return scored_pairs(pairs, vectors, k)
+def rp_forest_topk(vectors: DataFrame, k: int, trees: int = 10, leaf: int = 50, seed: int = 71, metric: str = "cosine", reference: DataFrame | None = None) -> DataFrame:
+    """The k best of those that share a leaf with a read, in the same table or in ``reference``, whose ids are then its own."""
+    if reference is None:
+        leaves = rp_forest_candidates(vectors, trees, leaf, seed=seed)
+        other = leaves
+    else:
+        both = vectors.select("read_id", "vector", F.lit(0).alias("side")).unionByName(reference.select("read_id", "vector", F.lit(1).alias("side")))
+        named = both.select((F.col("read_id") * 2 + F.col("side")).alias("read_id"), "vector")
+        found = rp_forest_candidates(named, trees, leaf, seed=seed)
+        of = lambda side: found.where(F.pmod("read_id", F.lit(2)) == side).withColumn("read_id", F.shiftright("read_id", 1))
+        leaves, other = of(0), of(1)
+    pairs = leaves.join(other.withColumnRenamed("read_id", "neighbor_id"), ["repeat", "feature_id"])
+    if reference is None:
+        pairs = pairs.where("read_id <> neighbor_id")
+    return scored_pairs(pairs.select("read_id", "neighbor_id").distinct(), vectors, k, metric, reference)
 
 
-def nn_descent(vectors: DataFrame, k: int, rounds: int = 3, trees: int = 6, leaf: int = 30, seed: int = 683_985) -> DataFrame:
+def nn_descent(vectors: DataFrame, k: int, rounds: int = 3, trees: int = 6, leaf: int = 30, seed: int = 683_985, metric: str = "cosine") -> DataFrame:
     """Neighbours of neighbours, starting from a forest's leaves; each round joins the lists both ways and keeps the k best."""
-    graph = materialize(rp_forest_topk(vectors, k, trees, leaf, seed), "nnd")
+    graph = materialize(rp_forest_topk(vectors, k, trees, leaf, seed, metric), "nnd")
     for _ in range(rounds):
         ways = graph.select("read_id", "neighbor_id").unionByName(graph.select(F.col("neighbor_id").alias("read_id"), F.col("read_id").alias("neighbor_id"))).distinct()
         # a popular read passes on at most 3k of those that list it
         ways = ways.withColumn("n", F.row_number().over(Window.partitionBy("read_id").orderBy(F.xxhash64("read_id", "neighbor_id")))).where(F.col("n") <= 3 * k).drop("n")
         hops = ways.join(graph.select(F.col("read_id").alias("neighbor_id"), F.col("neighbor_id").alias("far")), "neighbor_id").select("read_id", F.col("far").alias("neighbor_id"))
         pairs = hops.unionByName(graph.select("read_id", "neighbor_id")).where("read_id <> neighbor_id").distinct()
-        graph = materialize(scored_pairs(pairs, vectors, k), "nnd")
+        graph = materialize(scored_pairs(pairs, vectors, k, metric), "nnd")
     return graph
+
+
+def graph_search(queries: DataFrame, reference: DataFrame, k: int, rounds: int = 2, trees: int = 6, leaf: int = 30, seed: int = 683_985, metric: str = "cosine") -> DataFrame:
+    """Neighbours of ``queries`` in ``reference``: those that share a forest's leaf, then rounds of their neighbours in the reference's own graph."""
+    graph = nn_descent(reference, k, rounds, trees, leaf, seed, metric).select(F.col("read_id").alias("neighbor_id"), F.col("neighbor_id").alias("far"))
+    found = materialize(rp_forest_topk(queries, k, trees, leaf, seed, metric, reference), "search")
+    for _ in range(rounds):
+        near = found.select("read_id", "neighbor_id")
+        hops = near.join(graph, "neighbor_id").select("read_id", F.col("far").alias("neighbor_id"))
+        found = materialize(scored_pairs(near.unionByName(hops).distinct(), queries, k, metric, reference), "search")
+    return found

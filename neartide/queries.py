@@ -703,9 +703,9 @@ _COMP = f"{_CLOSE}, d AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), reac
 
 
 def _close(spark, sf_dir):
-    """Pairs of vectors closer than a threshold; a neighbour list as long as the table is whole."""
+    """Pairs of vectors closer than a threshold."""
     v = vectors(spark, sf_dir)
-    return N.dense_topk(v, 1 << 30).where("score > 0.33 and read_id < neighbor_id").select(F.col("read_id").alias("u"), F.col("neighbor_id").alias("v"))
+    return N.dense_within(v, 0.33).where("read_id < neighbor_id").select(F.col("read_id").alias("u"), F.col("neighbor_id").alias("v"))
 
 
 @query(f"WITH RECURSIVE {_COMP} SELECT node, component FROM cc")
@@ -725,15 +725,16 @@ def singleton_stats(spark, sf_dir):
     return G.degrees(_close(spark, sf_dir)).agg((F.lit(n) - F.count_if(F.expr("degree > 1"))).alias("singletons"), S.rounded((F.lit(n) - F.count_if(F.expr("degree > 1"))) / n).alias("singleton_share"))
 
 
-@query(f"""WITH {VEC}, s AS ({DENSE_COS}), f AS (SELECT * FROM s WHERE score >= 0.1 AND neighbor_id <> xor(read_id, 1)), r AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, neighbor_id) AS n, count(*) OVER (PARTITION BY read_id) AS c FROM f),
-k AS (SELECT read_id, score AS kth FROM r WHERE n = least(6, c)) SELECT f.read_id, f.neighbor_id, f.score FROM f JOIN k USING (read_id) WHERE f.score > kth""")
+@query(f"""WITH {VEC}, s AS MATERIALIZED ({DENSE_COS}), r AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, neighbor_id) AS n, count(*) OVER (PARTITION BY read_id) AS c FROM s WHERE score >= 0.1 AND neighbor_id <> xor(read_id, 1)),
+k AS (SELECT *, max(CASE WHEN n = least(6, c) THEN score END) OVER (PARTITION BY read_id) AS kth FROM r WHERE n <= 6) SELECT read_id, neighbor_id, score FROM k WHERE score > kth""")
 def score_threshold_neighbors(spark, sf_dir):
-    return G.above_kth_score(N.dense_topk(vectors(spark, sf_dir), 1 << 30), 6, 0.1)
+    # what is strictly above the k-th best is among the k best once the sibling is left out
+    return G.above_kth_score(N.dense_topk(vectors(spark, sf_dir), 6 + 1), 6, 0.1)
 
 
 # ---- evaluation
 
-_KS = [1, 2, 4, 6, 8, 10, 12, 14, 16, 18]
+_KS = list(range(1, 19))
 _PERK = f"""ks AS (SELECT unnest({_KS}) AS k), ek AS (SELECT DISTINCT k, least(read_id, neighbor_id) AS u, greatest(read_id, neighbor_id) AS v FROM knn, ks WHERE rank <= k),
 sk AS (SELECT k, u, v, coalesce(overlap_size, 0) AS o FROM ek LEFT JOIN tru USING (u, v)),
 lk AS (SELECT k, count_if(d > 1) AS linked FROM (SELECT k, node, count(*) AS d FROM (SELECT k, u AS node FROM sk WHERE o <> 0 UNION ALL SELECT k, v FROM sk WHERE o <> 0) GROUP BY 1, 2) GROUP BY 1)"""
