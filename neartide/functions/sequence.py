@@ -53,3 +53,13 @@ def species(taxonomy: Column) -> Column:
 
 def accession_prefix(accession: Column) -> Column:
     return F.when(accession.startswith("GCA"), F.concat(F.lit("GB_"), accession)).otherwise(F.concat(F.lit("RS_"), accession))
+
+
+def taxon_code(record_id: Column) -> Column:
+    """The first six characters of an accession, which name its species."""
+    return F.substring(record_id, 1, 6)
+
+
+def source_record(read_name: Column) -> Column:
+    """Which record, from 0, a simulated read S<n>_... comes from."""
+    return F.nullif(F.regexp_extract(read_name, r"S(\d+)_", 1), F.lit("")).cast("long") - 1

@@ -125,6 +125,11 @@ def token_lists(reads: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
     return found.groupBy("read_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "kmer"))), lambda t: t["kmer"]).alias("tokens"))
 
 
+def window_minima(hashed: np.ndarray, w: int) -> np.ndarray:
+    """Where the least of each w consecutive hashes stands, the leftmost among equals."""
+    return sliding_window_view(hashed, w).argmin(1) + np.arange(len(hashed) - w + 1)
+
+
 def minimizers(reads: DataFrame, k: int, w: int, seed: int, every_window: bool = False) -> DataFrame:
     """(read_id, kmer, cnt) of the least-hash k-mer of each window of w k-mers, the leftmost among equals.
 
@@ -144,7 +149,7 @@ def minimizers(reads: DataFrame, k: int, w: int, seed: int, every_window: bool =
                     n = len(piece) - k + 1
                     if n >= w:
                         hashed = np.array([int.from_bytes(md5(start + piece[i : i + k].encode()).digest()[:8], "big") >> 4 for i in range(n)], np.int64)
-                        at = sliding_window_view(hashed, w).argmin(1) + np.arange(n - w + 1)  # the leftmost among equals
+                        at = window_minima(hashed, w)
                         if not every_window:
                             new = np.ones(len(at), bool)
                             new[1:] = at[1:] != at[:-1]

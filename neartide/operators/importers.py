@@ -110,3 +110,18 @@ def remapped(neighbors: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     ids = old.select("read_name", "read_orientation", F.col("read_id").alias("was")).join(new.select("read_name", "read_orientation", F.col("read_id").alias("now")), ["read_name", "read_orientation"]).select("was", "now")
     a, b = ids.select(F.col("was").alias("read_id"), F.col("now").alias("i")), ids.select(F.col("was").alias("neighbor_id"), F.col("now").alias("j"))
     return neighbors.join(a, "read_id").join(b, "neighbor_id").select(F.col("i").alias("read_id"), "rank", F.col("j").alias("neighbor_id"))
+
+
+def imported(tool: str, spark, paths, index: DataFrame, k: int, **options) -> DataFrame:
+    """The neighbours in the file of a tool: paf, mhap, wtdbg2, mecat2, ranked_names or ranked_ids; others are a ValueError."""
+    from neartide.sources import overlaps
+
+    by_name = {"paf": (overlaps.read_paf, paf), "mhap": (overlaps.read_mhap, mhap), "wtdbg2": (overlaps.read_wtdbg2, wtdbg2), "ranked_names": (overlaps.read_ranked_names, ranked_names)}
+    by_id = {"mecat2": (overlaps.read_mecat2, mecat2), "ranked_ids": (overlaps.read_ranked_ids, ranked_ids)}
+    if tool in by_name:
+        read, build = by_name[tool]
+        return build(read(spark, paths), index, k, **options)
+    if tool in by_id:
+        read, build = by_id[tool]
+        return build(read(spark, paths), k, **options)
+    raise ValueError(f"unknown tool {tool!r}; one of {', '.join([*by_name, *by_id])}")

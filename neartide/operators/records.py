@@ -73,11 +73,28 @@ def require_distinct(reads: DataFrame, name: str = "read_name") -> DataFrame:
     return reads.withColumn("_n", n).where(F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated read "), F.col(name))).cast("boolean")).otherwise(F.lit(True))).drop("_n")
 
 
-def region_slice(sequences: DataFrame, chromosome: str, start: int, end: int) -> DataFrame:
-    """The stretch [start, end) of a named sequence in upper case, named chromosome_start_end."""
+def region_slice(sequences: DataFrame, chromosome: str, start: int, end: int, strict: bool = False) -> DataFrame:
+    """The stretch [start, end) of a named sequence in upper case, named chromosome_start_end; with ``strict`` a name that is not there is an error."""
+    if strict and sequences.where(F.col("name") == chromosome).isEmpty():
+        raise ValueError(f"no sequence named {chromosome!r}")
     return sequences.where(F.col("name") == chromosome).select(F.lit(f"{chromosome}_{start}_{end}").alias("name"), F.translate(F.substring("sequence", start + 1, end - start), string.ascii_lowercase, string.ascii_uppercase).alias("sequence"))
 
 
+def rows_by_names(rows: DataFrame, names: DataFrame, name: str = "read_name") -> DataFrame:
+    """All rows of each name of ``names(name, place)``, in order of place: a name that is listed twice has its rows twice."""
+    listed = names.select(F.col("name").alias(name), F.col("place").alias("_place"))
+    return rows.join(listed, name).orderBy("_place", *[c for c in rows.columns if c == "read_id"]).drop("_place")
+
+
+def with_taxon(features: DataFrame, reads: DataFrame, accessions: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """``features(read_id, ...)`` with each read's species: ``reads(read_id, read_name)``, ``accessions(name, accession)``, ``taxonomy(tax_id, taxonomy)``; null where one is unknown."""
+    from neartide.functions.sequence import species
+
+    known = taxonomy.select(F.col("tax_id").alias("accession"), species(F.col("taxonomy")).alias("species"))
+    named = reads.join(accessions.select(F.col("name").alias("read_name"), "accession"), "read_name", "left").join(known, "accession", "left")
+    return features.join(named.select("read_id", "species"), "read_id", "left")
+
+
 # ---- samples
 
 
@@ -114,6 +131,7 @@ def parameter_grid(spark: SparkSession, **values: list) -> DataFrame:
 
 # ---- run logs
 
+# fixed values: lines that the time command writes
 _TIME = {"mrss": r"Maximum resident set size \(kbytes\): (\d+)", "clock": r"Elapsed \(wall clock\) time \(h:mm:ss or m:ss\): ([\d:.]+)", "system": r"System time \(seconds\): ([\d.]+)", "user": r"User time \(seconds\): ([\d.]+)"}
 
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 import itertools
 import json
 from dataclasses import dataclass, field, replace
-from typing import Any, Protocol
 
 from pyspark.sql import DataFrame
 
@@ -18,14 +17,6 @@ REDUCERS = ("None", "SRP", "mpSRP", "GRP", "PCA", "SVD", "Spectral", "scBiMap",
 WEIGHTS = ("count", "binary", "TF", "IDF", "TFIDF")
 
 
-class Searcher(Protocol):
-    def __call__(self, data: DataFrame, k: int, **options: Any) -> DataFrame: ...
-
-
-class Reducer(Protocol):
-    def __call__(self, data: DataFrame, dims: int, **options: Any) -> DataFrame: ...
-
-
 @dataclass(frozen=True)
 class PipelineSpec:
     search: str
@@ -98,20 +89,86 @@ def reduced(spec: PipelineSpec, weights: DataFrame) -> DataFrame:
     return sparse_reduce.completed(found, weights, dims)
 
 
-def run(spec: PipelineSpec, features: DataFrame, k: int) -> DataFrame:
-    """Weights, reduces and searches sparse features (read_id, feature_id, cnt) as ``spec`` says."""
+#: The metrics of each search on reduced vectors.
+DENSE = {"Exact": ("cosine", "euclidean"), "RPForest": ("cosine", "euclidean"), "NNDescent": ("cosine", "euclidean"), "HNSW": ("cosine", "euclidean"), "LSH": ("cosine", "euclidean"), "PQ": ("cosine",), "IVFPQ": ("cosine",)}
+
+
+def _stacked(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two tables of features as one: ids of the first doubled, of the second doubled and one more."""
+    from pyspark.sql import functions as F
+
+    rest = [c for c in a.columns if c != "read_id"]
+    return a.select((F.col("read_id") * 2).alias("read_id"), *rest).unionByName(b.select((F.col("read_id") * 2 + 1).alias("read_id"), *rest))
+
+
+def _side(rows: DataFrame, side: int) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return rows.where(F.pmod("read_id", F.lit(2)) == side).withColumn("read_id", F.shiftright("read_id", 1))
+
+
+def run(spec: PipelineSpec, features: DataFrame, k: int, reference: DataFrame | None = None) -> DataFrame:
+    """Weights, reduces and searches sparse features (read_id, feature_id, cnt) as ``spec`` says.
+
+    With ``reference`` both tables are weighted and reduced together, and the
+    neighbours of ``features`` are sought in it.  The search's options go to the
+    search; a metric or reducer that a search has no use for is a ValueError.
+    """
     from neartide.operators import neighbors, weighting
 
-    weights = weighting.weighted(features, spec.weight.lower())
+    def no_more(*allowed: str) -> None:
+        unknown = set(spec.search_options) - set(allowed)
+        if unknown:
+            raise ValueError(f"{spec.search} has no option {', '.join(sorted(unknown))}")
+
+    options = spec.search_options
+    both = reference is not None
+    weights = weighting.weighted(_stacked(features, reference) if both else features, spec.weight.lower())
+    if spec.search in ("MinHash", "SimHash"):
+        want = ("jaccard", "generalizedjaccard") if spec.search == "MinHash" else ("hamming", "cosine")
+        if spec.reducer is not None or spec.metric not in want:
+            raise ValueError(f"{spec.search} takes no reducer and one of the metrics {', '.join(want)}")
     if spec.search == "MinHash":
-        buckets = neighbors.lowhash(weights, spec.search_options["repeats"], spec.search_options["count"], spec.search_options["seed"])
-        return neighbors.bucket_neighbors(buckets, k, max_bucket=spec.search_options.get("max_bucket"))
+        no_more("repeats", "count", "seed", "max_bucket", "min_bucket", "min_cooccurrence")
+        buckets = neighbors.lowhash(weights, options["repeats"], options["count"], options["seed"], weighted=spec.metric == "generalizedjaccard")
+        rest = {n: options[n] for n in ("max_bucket", "min_bucket", "min_cooccurrence") if n in options}
+        return neighbors.bucket_neighbors(_side(buckets, 0) if both else buckets, k, reference=_side(buckets, 1) if both else None, **rest)
     if spec.search == "SimHash":
-        return neighbors.hamming_topk(neighbors.simhash_bits(weights, spec.search_options.get("words", 4), spec.search_options.get("seed", 20_141_025)), k)
+        no_more("words", "seed")
+        bits = neighbors.simhash_bits(weights, options.get("words", 4), options.get("seed", 20_141_025))
+        return neighbors.hamming_topk(_side(bits, 0) if both else bits, k, reference=_side(bits, 1) if both else None)
     if spec.reducer is None:
         metric = {"generalizedjaccard": "generalized_jaccard"}.get(spec.metric, spec.metric)
-        return neighbors.sparse_topk(weights, k, metric)
+        no_more()
+        # ids of two tables are their own, so that none of a reference is a read itself
+        return neighbors.sparse_topk(_side(weights, 0) if both else weights, k, metric, reference=_side(weights, 1) if both else None, include_self=both)
+    if spec.metric not in DENSE[spec.search]:
+        raise ValueError(f"{spec.search} on reduced vectors takes one of the metrics {', '.join(DENSE[spec.search])}")
     dense = reduced(spec, weights)
-    search = {"Exact": lambda d: neighbors.dense_topk(d, k, spec.metric), "RPForest": lambda d: neighbors.rp_forest_topk(d, k), "NNDescent": lambda d: neighbors.nn_descent(d, k),
-              "PQ": lambda d: neighbors.pq_topk(d, k), "IVFPQ": lambda d: neighbors.pq_topk(d, k, lists=64, probes=8), "HNSW": lambda d: neighbors.nn_descent(d, k), "LSH": lambda d: neighbors.lsh_topk(d, k)}
-    return search[spec.search](dense)
+    queries, other = (_side(dense, 0), _side(dense, 1)) if both else (dense, None)
+    if spec.search == "Exact":
+        no_more()
+        return neighbors.dense_topk(queries, k, spec.metric, reference=other, include_self=both)
+    if spec.search == "RPForest":
+        return neighbors.rp_forest_topk(queries, k, metric=spec.metric, reference=other, **options)
+    if spec.search == "LSH":
+        return neighbors.lsh_topk(queries, k, metric=spec.metric, reference=other, **options)
+    if spec.search in ("NNDescent", "HNSW"):
+        if both:
+            return neighbors.graph_search(queries, other, k, metric=spec.metric, **options)
+        return neighbors.nn_descent(queries, k, metric=spec.metric, **options)
+    if both:
+        raise ValueError(f"{spec.search} has no two-table form")
+    return neighbors.pq_topk(queries, k, **({"lists": 64, "probes": 8} if spec.search == "IVFPQ" else {}) | options)
+
+
+def run_all(specs: dict[str, PipelineSpec], features: DataFrame, k: int, reference: DataFrame | None = None) -> DataFrame:
+    """The neighbours by each of several specs, with its name in column config."""
+    from functools import reduce as folded
+
+    from pyspark.sql import functions as F
+
+    found = [run(s, features, k, reference) for s in specs.values()]
+    # searches name their measure score or distance
+    alike = [f.select(F.lit(name).alias("config"), "read_id", "rank", "neighbor_id", F.col(f.columns[-1]).cast("double").alias("value")) for name, f in zip(specs, found)]
+    return folded(DataFrame.unionByName, alike)

@@ -10,9 +10,10 @@ READ_INFO = "read_name string, read_length long, reference_chromosome string, re
 
 
 def _lines(spark: SparkSession, paths, separator: str) -> DataFrame:
-    """(c, line_no): the fields of each line that is not blank, and its place."""
-    rows = spark.read.text(paths).withColumn("line_no", F.monotonically_increasing_id())
-    return rows.where(F.trim("value") != "").select(F.split("value", separator).alias("c"), "line_no")
+    """(c, line_no): the fields of each line that is not blank, and its place: file, block of the file, line of the block."""
+    rows = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+    # ids rise within a block, and structs compare field by field; Spark reads blocks in any order
+    return rows.where(F.trim("value") != "").select(F.split("value", separator).alias("c"), F.struct("f", "b", "n").alias("line_no"))
 
 
 def _at(i: int, kind: str = "string") -> Column:
@@ -81,7 +82,8 @@ def accessions(spark: SparkSession, paths, pattern: str = r"(GC[AF]_\d+\.\d+)")
     """(name, accession): each record's name with the accession in its file's path, prefixed by where it comes from."""
     from neartide.functions.sequence import accession_prefix
 
-    rows = spark.read.option("lineSep", ">").text(paths).select(F.regexp_extract("value", r"\A([^\s]*)", 1).alias("name"), F.regexp_extract("_metadata.file_path", pattern, 1).alias("a"))
+    lines = spark.read.text(paths).where(F.col("value").startswith(">"))
+    rows = lines.select(F.regexp_extract("value", r"\A>([^\s]*)", 1).alias("name"), F.regexp_extract("_metadata.file_path", pattern, 1).alias("a"))
     return rows.where("name <> ''").select("name", accession_prefix(F.col("a")).alias("accession"))
 
 
@@ -91,3 +93,51 @@ def time_logs(spark: SparkSession, paths) -> DataFrame:
 
     rows = spark.read.text(paths, wholetext=True)
     return parse_time_logs(rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+
+
+STAGES = "tfidf double, dimension_reduction double, nearest_neighbors double"
+
+
+def stage_times(spark: SparkSession, paths) -> DataFrame:
+    """(path, tfidf_time, dimension_reduction_time, get_neighbors_time) of JSON files of stage times, null where one is absent."""
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", STAGES).alias("s"))
+    return rows.select("path", F.col("s.tfidf").alias("tfidf_time"), F.col("s.dimension_reduction").alias("dimension_reduction_time"), F.col("s.nearest_neighbors").alias("get_neighbors_time"))
+
+
+def time_table(logs: DataFrame, stages: DataFrame) -> DataFrame:
+    """Run logs beside the stage times of files of the same name but for the last suffix, with what the path says of the run.
+
+    A path ends in thread/sample/region/platform/encode/method; folders that are
+    not there are null.
+    """
+    key = lambda c: F.regexp_replace(c, r"\.[^./]*\Z", "")
+    both = logs.withColumn("k", key("path")).join(stages.select(key("path").alias("k"), "tfidf_time", "dimension_reduction_time", "get_neighbors_time"), "k", "left")
+    part = F.split("k", "/")
+    names = ("thread", "sample", "region", "platform", "encode", "method")
+    of = [F.try_element_at(part, F.lit(i - len(names))).alias(n) for i, n in enumerate(names)]
+    return both.select("path", *of, "mrss", "clock_time", "cpu_time", "tfidf_time", "dimension_reduction_time", "get_neighbors_time")
+
+
+def write_graph(edges: DataFrame, nodes: DataFrame, path: str) -> None:
+    """A graph as two Parquet tables, edges and nodes, with all their columns."""
+    edges.write.parquet(f"{path}/edges")
+    nodes.write.parquet(f"{path}/nodes")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/nodes")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls written."""
+    rows.write.option("ignoreNullFields", False).json(path)
+
+
+def write_with_attributes(df: DataFrame, path: str, **attributes: str) -> None:
+    """A table whose columns' metadata carries ``attributes``; Parquet keeps them."""
+    first = df.columns[0]
+    df.withMetadata(first, {**df.schema[first].metadata, "attributes": attributes}).write.parquet(path)
+
+
+def attributes(df: DataFrame) -> dict[str, str]:
+    return dict(df.schema[df.columns[0]].metadata.get("attributes", {})) if df.columns else {}

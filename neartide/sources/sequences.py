@@ -22,7 +22,8 @@ def file_kind(path: str) -> str:
 
 def read_fasta(spark: SparkSession, paths: str | list[str], upper: bool = True, partitions: int | None = None) -> DataFrame:
     """(name, sequence): the name ends at the first white space, lines are joined, records without a name are left out."""
-    records = spark.read.option("lineSep", ">").text(paths).where(F.trim("value") != "")
+    # a record begins with > after a line feed; > within a header or sequence separates nothing, and the file's first > stands alone
+    records = spark.read.option("lineSep", "\n>").text(paths).select(F.regexp_replace("value", r"\A\s*>", "").alias("value")).where(F.trim("value") != "")
     head = F.regexp_extract("value", r"\A([^\s]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"\A[^\n]*\n?", ""), r"\s+", "")
     rows = records.select(head.alias("name"), (F.upper(body) if upper else body).alias("sequence")).where("name <> ''")
@@ -79,10 +80,12 @@ def fastq_names(spark: SparkSession, path: str) -> DataFrame:
     return read_fastq(spark, path).select("name")
 
 
-def read_maf(spark: SparkSession, paths: str | list[str], read_suffix: str = "") -> DataFrame:
+def read_maf(spark: SparkSession, paths: str | list[str], read_suffix: str = "", sequences: DataFrame | None = None) -> DataFrame:
     """Simulated reads from MAF blocks of a ``ref`` row and a read row: name, length, strand, reference start and end.
 
-    Blocks of more than two rows, or whose read does not start at 0, are an error.
+    Blocks of more than two rows, or whose read does not start at 0, are an
+    error.  With ``sequences(name, sequence)`` only reads that it names are
+    taken, and a read's length is that of its sequence.
     """
     blocks = spark.read.option("lineSep", "\n\n").text(paths).withColumn("rows", F.filter(F.split("value", "\n"), lambda r: r.startswith("s ")))
     blocks = blocks.where(F.size("rows") > 0)
@@ -94,10 +97,27 @@ def read_maf(spark: SparkSession, paths: str | list[str], read_suffix: str = "")
     name = at("q", 1)
     if read_suffix:
         name = F.concat(F.regexp_replace(name, r"/0$", ""), F.lit(read_suffix))
-    return two.where(zero).select(
+    found = two.where(zero).select(
         name.alias("read_name"), at("q", 5).cast("long").alias("read_length"), at("q", 4).alias("reference_strand"),
         at("r", 2).cast("long").alias("reference_start"), (at("r", 2).cast("long") + at("r", 3).cast("long")).alias("reference_end"),
     )
+    if sequences is None:
+        return found
+    lengths = sequences.select(F.col("name").alias("read_name"), F.length("sequence").cast("long").alias("read_length"))
+    return found.drop("read_length").join(lengths, "read_name").select("read_name", "read_length", "reference_strand", "reference_start", "reference_end")
+
+
+def perfect_read_info(sequences: DataFrame) -> DataFrame:
+    """Coordinates of error-free reads from their names: the start stands before the first underscore, the strand is +."""
+    start = F.substring_index("name", "_", 1).cast("long")
+    return sequences.select(F.col("name").alias("read_name"), F.length("sequence").cast("long").alias("read_length"), F.lit("+").alias("reference_strand"), start.alias("reference_start"), (start + F.length("sequence")).alias("reference_end"))
+
+
+def kmer_vocabulary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(kmer): the sequences of a FASTA file and their reverse complements, each once."""
+    from neartide.operators.encode import closed_vocabulary
+
+    return closed_vocabulary(read_fasta(spark, paths).select(F.col("sequence").alias("kmer")))
 
 
 def write_fasta(sequences: DataFrame, path: str, compressed: bool = True) -> None:

@@ -1,5 +1,9 @@
 """Golden cases and properties of the engine's own operators."""
 
+import hashlib
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -30,15 +34,19 @@ def test_kmers_and_orientation(spark):
     assert rows(encode.kmers(both.where("read_orientation = '+'"), 3)) == [(0, 0, "ACG"), (0, 1, "CGT")]
 
 
-def test_minimizers_follow_positions(spark, monkeypatch):
-    hashes = [5, 3, 3, 9, 1, 7, 8, 2]
-    letters = "abcdefgh"
-    monkeypatch.setattr(encode, "portable_hash", lambda c, seed: F.element_at(F.array(*[F.lit(h) for h in hashes]), F.ascii(c) - 96))
-    reads = spark.createDataFrame([(0, letters)], "read_id long, sequence string")
-    once = {r.kmer: r.cnt for r in encode.minimizers(reads, 1, 3, 0).collect()}
-    assert once == {letters[i]: 1 for i in (1, 4, 7)}
-    every = {r.kmer: r.cnt for r in encode.minimizers(reads, 1, 3, 0, every_window=True).collect()}
-    assert every == {"b": 2, "e": 3, "h": 1}
+def test_minimizers_follow_positions(spark):
+    at = encode.window_minima(np.array([5, 3, 3, 9, 1, 7, 8, 2]), 3).tolist()
+    assert at == [1, 1, 4, 4, 4, 7] and list(dict.fromkeys(at)) == [1, 4, 7]
+    # stretch by stretch as in one piece, and against windows told one by one
+    rng = random.Random(3)
+    text = "".join(rng.choice("ACGT") for _ in range(encode.STRETCH + 500))
+    reads = spark.createDataFrame([(0, text), (1, "ACG"), (2, None)], "read_id long, sequence string")
+    hashed = [int(hashlib.md5(f"7:{text[i : i + 6]}".encode()).hexdigest()[:15], 16) for i in range(len(text) - 5)]
+    minima = [min(range(i, i + 9), key=lambda j: (hashed[j], j)) for i in range(len(hashed) - 8)]
+    changes = [m for i, m in enumerate(minima) if i == 0 or m != minima[i - 1]]
+    for every, places in ((True, minima), (False, changes)):
+        got = {r.kmer: r.cnt for r in encode.minimizers(reads, 6, 9, 7, every).collect()}
+        assert got == Counter(text[i : i + 6] for i in places)
 
 
 def test_weights(spark):
