@@ -30,7 +30,7 @@ from neartide.llm import words
 from neartide.plans.storage import materialize
 
 CAPACITY = 2048
-MEMO = 1 << 17  # words of which a worker remembers the ids; the memory is bounded, the ids do not depend on it
+MEMO = 1 << 19  # words of which a worker remembers the ids; the memory is bounded, the ids do not depend on it
 WORDS = 1 << 15  # words after which it looks whether they are too many
 NODES = 40_000  # of the search
 STEPS = 1_000  # of the enumeration of fillings that count as a node
