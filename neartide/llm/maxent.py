@@ -188,10 +188,18 @@ class Model:
 
 def _add(total: np.ndarray, features: np.ndarray, p: np.ndarray) -> None:
     for f in range(features.shape[1]):
-        order = np.argsort(features[:, f], kind="stable")
-        ids = features[order, f]
+        ids, rows = features[:, f], p
+        if (ids[1:] < ids[:-1]).any():  # the first feature of contexts in order is in order too
+            order = np.argsort(ids, kind="stable")
+            ids, rows = ids[order], p[order]
         heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        total[ids[heads]] += np.add.reduceat(p[order], heads, axis=0)
+        if 2 * len(heads) > len(ids):  # few rows to add up: the second and later ones of a feature are added to its first
+            first = rows[heads]
+            later = np.flatnonzero(ids[1:] == ids[:-1]) + 1
+            np.add.at(first, np.searchsorted(heads, later, "right") - 1, rows[later])
+            total[ids[heads]] += first
+        else:
+            total[ids[heads]] += np.add.reduceat(rows, heads, axis=0)
 
 
 _PIECES = "at int, part int, data binary"
