@@ -92,7 +92,7 @@ class Forest:
         near = self.x32[self.falling[: count.max(initial=0)]] @ queries.astype(np.float32).T
         for i, q in enumerate(queries):
             found = np.sort(self.falling[: count[i]][near[: count[i], i] >= least[i]])
-            score = (self.x[found] * q).sum(1)
+            score = np.add.accumulate(self.x[found] * q, axis=1)[:, -1]  # component by component, as SQL adds them up
             if len(found) > top:
                 best = score >= np.partition(score, -top)[-top]
                 found, score = found[best], score[best]
@@ -113,7 +113,8 @@ def usable(vectors: DataFrame, column: str) -> DataFrame:
 def nearest(vectors: DataFrame, every: int = 20, top: int = 20, column: str = "embedding", trees: int = TREES, share: float = SHARE, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each row whose vec_id is divisible by ``every``.
 
-    Null, zero, null-holding and non-finite vectors and rows without vec_id take
+    Scores are added up component by component, in double precision.  Null,
+    zero, null-holding and non-finite vectors and rows without vec_id take
     no part; vectors of different lengths are never compared.  Rows that repeat
     a query's vec_id are the query's own.  Ties go to the smaller vec_id; an
     empty table gives no rows; other columns are not read.

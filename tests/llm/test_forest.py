@@ -29,3 +29,23 @@ def test_recall(kind, top=20):
         hits += np.isin(np.argsort(-full, kind="stable")[:top], found).sum()
         assert (full[found] == score).all()
     assert hits / (top * len(asked)) >= 0.9
+
+
+def test_queries_with_sql_agree_with_it(spark):
+    import os
+
+    import pytest
+
+    duckdb, data = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("the driver's tables are not here")
+    from neartide.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for name in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        got, want = QUERIES[name](spark, data), con.execute(sql)
+        columns = sorted(got.columns)
+        order = [[d[0] for d in want.description].index(c) for c in columns]
+        assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(repr(tuple(r[i] for i in order)) for r in want.fetchall()), name
