@@ -482,7 +482,7 @@ def scored_pairs(pairs: DataFrame, vectors: DataFrame, k: int, metric: str = "co
     return top_k(both.select("read_id", "neighbor_id", rounded(score).alias("score")), k, ascending=metric == "euclidean")
 
 
-def rp_forest_topk(vectors: DataFrame, k: int, trees: int = 10, leaf: int = 50, seed: int = 71, metric: str = "cosine", reference: DataFrame | None = None) -> DataFrame:
+def rp_forest_topk(vectors: DataFrame, k: int, trees: int = 32, leaf: int = 100, seed: int = 71, metric: str = "cosine", reference: DataFrame | None = None) -> DataFrame:
     """The k best of those that share a leaf with a read, in the same table or in ``reference``, whose ids are then its own."""
     if reference is None:
         leaves = rp_forest_candidates(vectors, trees, leaf, seed=seed)
@@ -499,8 +499,9 @@ def rp_forest_topk(vectors: DataFrame, k: int, trees: int = 10, leaf: int = 50,
     return scored_pairs(pairs.select("read_id", "neighbor_id").distinct(), vectors, k, metric, reference)
 
 
-def nn_descent(vectors: DataFrame, k: int, rounds: int = 3, trees: int = 6, leaf: int = 30, seed: int = 683_985, metric: str = "cosine") -> DataFrame:
-    """Neighbours of neighbours, starting from a forest's leaves; each round joins the lists both ways and keeps the k best."""
+def nn_descent(vectors: DataFrame, k: int, rounds: int = 3, trees: int = 6, leaf: int = 30, seed: int = 683_985, metric: str = "cosine", width: int | None = None) -> DataFrame:
+    """Neighbours of neighbours, starting from a forest's leaves; each round joins the lists both ways and keeps the ``width`` best, three times k unless given; the k best of the last count."""
+    wanted, k = k, max(k, width or 3 * k)
     graph = materialize(rp_forest_topk(vectors, k, trees, leaf, seed, metric), "nnd")
     for _ in range(rounds):
         ways = graph.select("read_id", "neighbor_id").unionByName(graph.select(F.col("neighbor_id").alias("read_id"), F.col("read_id").alias("neighbor_id"))).distinct()
@@ -509,7 +510,7 @@ def nn_descent(vectors: DataFrame, k: int, rounds: int = 3, trees: int = 6, leaf
         hops = ways.join(graph.select(F.col("read_id").alias("neighbor_id"), F.col("neighbor_id").alias("far")), "neighbor_id").select("read_id", F.col("far").alias("neighbor_id"))
         pairs = hops.unionByName(graph.select("read_id", "neighbor_id")).where("read_id <> neighbor_id").distinct()
         graph = materialize(scored_pairs(pairs, vectors, k, metric), "nnd")
-    return graph
+    return graph.where(F.col("rank") <= wanted)
 
 
 def graph_search(queries: DataFrame, reference: DataFrame, k: int, rounds: int = 2, trees: int = 6, leaf: int = 30, seed: int = 683_985, metric: str = "cosine") -> DataFrame:

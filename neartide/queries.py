@@ -380,7 +380,7 @@ def pq_topk(spark, sf_dir):
 
 @query()
 def ivfpq_topk(spark, sf_dir):
-    return N.pq_topk(vectors(spark, sf_dir), 10, lists=16, probes=8)
+    return N.pq_topk(vectors(spark, sf_dir), 10, lists=16, probes=13)
 
 
 @query()
@@ -390,7 +390,7 @@ def rp_forest_topk(spark, sf_dir):
 
 @query()
 def nn_descent(spark, sf_dir):
-    return N.nn_descent(vectors(spark, sf_dir), 10, rounds=2)
+    return N.nn_descent(vectors(spark, sf_dir), 10)
 
 
 # ---- reduction
