@@ -4,10 +4,14 @@ A text is the set of hashes of its runs of ``WIDTH`` words in lower case.  Texts
 with the same set are one node.  Two sets whose Jaccard similarity is at least
 0.8 share one of the first ``size // 5 + 1`` hashes of each, in any order that
 is the same for all sets; the order here begins with hashes that a bounded
-sample did not find common, so that few nodes share a first hash.  Every pair
-that does is compared whole, unless links found before have joined it or its
-sizes, its places in the order or its counts of hashes rule the similarity out.  Nothing is left to chance but equal 64-bit hashes
-of different shingles or sets.
+sample did not find common, so that few nodes share a first hash.
+
+Nodes meet first by SimHash: tiles (``simhash.links``) join the fingerprints of
+the shingles, and each link is compared whole.  What they leave meets by first
+hashes: every pair that shares one is compared whole, unless links found before
+have joined it or its sizes, its places in the order, its parities or its
+counts of hashes rule the similarity out.  Nothing is left to chance but equal
+64-bit hashes of different shingles or sets.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neartide.llm import words
+from neartide.llm import simhash, words
 from neartide.operators.components import connected_components
 from neartide.plans.storage import materialize, numbered
 
@@ -28,7 +32,7 @@ WIDTH = 5
 SAMPLE = 5_000  # rows from which common hashes are known
 COMMON = 3  # nodes of the sample that make a hash common
 HOT = 1 << 16  # common hashes that are told apart; any number leaves the join exact
-STARS = 3  # rounds that link nodes to one other each, so that a large class needs no pairs
+STARS = 2  # rounds after the tiles that link nodes to one other each, so that a large class needs no pairs
 _STEP = words.mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -71,6 +75,21 @@ def _sketch(keys: np.ndarray) -> bytes:
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
 
+def _parities(keys: np.ndarray) -> np.ndarray:
+    """512 bits: whether an odd number of hashes begin with each 9 bits.  Two sets' bits differ in no more places than the sets do."""
+    return np.packbits((np.bincount((keys >> np.uint64(55)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _odd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, keys) as node and the eight words of its parities."""
+    for batch in batches:
+        found = np.array([_parities(np.frombuffer(k, np.uint64)) for k in batch.column(1).to_pylist()], np.int64).reshape(-1, 8)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, i].copy()) for i in range(8))], names=["node", *ODD])
+
+
+ODD = [f"odd{i}" for i in range(8)]
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, texts in words.blocks(batches, 1 << 20):
         found = shingles(texts)
@@ -137,7 +156,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """key and (node, size, pos, print, label) of its distinct nodes where they differ in label; rows come in order of key, size and node."""
+    """key and (node, size, pos, print, label and what follows) of its distinct nodes where they differ in label; rows come in order of key, size and node."""
     key, parts = None, []
 
     def whole() -> Iterator[tuple[np.ndarray, ...]]:
@@ -147,7 +166,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]
             yield (key, *(c[new] for c in columns))
 
     for batch in batches:
-        k, *columns = (np.asarray(batch.column(i)) for i in range(6))
+        k, *columns = (np.asarray(c) for c in batch.columns)
         cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
         for i, j in zip(cuts[:-1], cuts[1:]):
             if i == j:
@@ -167,6 +186,14 @@ def _may(size: np.ndarray, pos: np.ndarray, i: int, j: slice | np.ndarray) -> np
     return (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (9 * np.minimum(a - int(pos[i]), b - pos[j]) >= 4 * (a + b))
 
 
+def _even(size: np.ndarray, odd: list[np.ndarray], i: int, j: np.ndarray) -> np.ndarray:
+    """Of ``j`` those whose parities allow the similarity with i: sets that alike differ in no more than a ninth of both."""
+    apart = np.zeros(len(j), np.int64)
+    for c in odd:
+        apart += np.bitwise_count((c[j] ^ c[i]).view(np.uint64))
+    return j[9 * apart <= int(size[i]) + size[j].astype(np.int64)]
+
+
 def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The members of each list that may be similar to another one; of very long lists, all."""
     for key, node, size, pos, prints, _ in _lists(batches):
@@ -186,7 +213,7 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of theirs.  Nodes of the label that most of a list have go by the lead of
     the others, the others by the lead of that label.
     """
-    for _, node, size, pos, prints, label in _lists(batches):
+    for _, node, size, pos, prints, label, *odd in _lists(batches):
         labels, index, n = np.unique(label, return_inverse=True, return_counts=True)
         most = index == n.argmax()
         for own, others in ((most, ~most), (~most, most)):
@@ -194,7 +221,7 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = np.unpackbits(prints[lead].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
             middle = np.packbits(2 * bits > len(lead), bitorder="little").view(np.uint64)[0]
             lead = int(lead[np.lexsort((node[lead], np.bitwise_count(prints[lead].view(np.uint64) ^ middle)))[0]])
-            found = np.flatnonzero(own & _may(size, pos, lead, slice(None)))
+            found = _even(size, odd, lead, np.flatnonzero(own & _may(size, pos, lead, slice(None))))
             if len(found):
                 apart = np.bitwise_count(prints[found].view(np.uint64) ^ prints[lead].view(np.uint64)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(np.full(len(found), node[lead])), pa.array(apart)], names=["a", "b", "bits"])
@@ -203,9 +230,9 @@ def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every pair of a list that may be similar and differs in label."""
     out, n = [], 0
-    for _, node, size, pos, _, label in _lists(batches):
+    for _, node, size, pos, _, label, *odd in _lists(batches):
         for i in range(len(node) - 1):
-            j = np.flatnonzero((label[i + 1 :] != label[i]) & _may(size, pos, i, slice(i + 1, None))) + i + 1
+            j = _even(size, odd, i, np.flatnonzero((label[i + 1 :] != label[i]) & _may(size, pos, i, slice(i + 1, None))) + i + 1)
             if len(j):
                 out.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
                 n += len(j)
@@ -249,6 +276,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(beside(left, "keys").mapInArrow(words.trimmed(_near), "u long, v long"), "near-links")
 
 
+def _tiled(signed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that SimHash brings together: those of one fingerprint, and of fingerprints that a tile links."""
+    prints = materialize(signed.groupBy("print").agg(F.min("node").alias("lead")), "near-prints")
+    found = materialize(simhash.links(prints.select(F.col("print").alias("fp"))), "near-tiles").distinct()
+    one, two = (prints.select(F.col("print").alias(p), F.col("lead").alias(n)) for p, n in (("u", "a"), ("v", "b")))
+    same = signed.join(prints, "print").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    return materialize(found.join(one, "u").join(two, "v").select("a", "b").unionByName(same).where("a <> b").distinct(), "near-tiled")
+
+
 def representatives(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class of rows joined by links of similarity at least 0.8.
 
@@ -281,6 +317,7 @@ def representatives(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     ids = rows.select("_row", "doc_id")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "_row")).alias("best")
     nodes = materialize(signed.select("_row", "node").join(ids, "_row").groupBy("node").agg(best), "near-nodes")
+    tiled = _tiled(signed.select("node", "print"))
     postings = signed.select("node", "_row", "first").mapInArrow(words.trimmed(_postings), "key long, _row long, pos int")
     repeated = materialize(postings.repartition("key").sortWithinPartitions("key").mapInArrow(words.trimmed(_repeated), "key long, _row long, pos int"), "near-repeated")
     members = repeated.join(signed.select("_row", "node", "size", "print"), "_row").select("key", "node", "size", "pos", "print", F.col("node").alias("label"))
@@ -288,13 +325,17 @@ def representatives(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     met = shared.select("node").distinct().join(nodes, "node").select(F.col("best._row").alias("_row"))
     sets = materialize(rows.select("_row", "text").join(met, "_row").mapInArrow(words.trimmed(_sets), "node long, sketch binary, keys binary"), "near-sets")
 
+    parities = sets.select("node", "keys").mapInArrow(words.trimmed(_odd), "node long, " + ", ".join(f"{c} long" for c in ODD))
+    shared = materialize(shared.join(parities, "node").select("key", "node", "size", "pos", "print", *ODD), "near-marked")
+
     edges, found = None, None
-    for step in range(STARS + 1):
-        labelled = shared.withColumn("label", F.col("node"))
+    for step in range(STARS + 2):
         if found is not None:
-            labelled = shared.join(found, "node", "left").select("key", "node", "size", "pos", "print", F.coalesce("component", "node").alias("label"))
-        lists = labelled.repartition("key").sortWithinPartitions("key", "size", "node")
-        if step < STARS:
+            labelled = shared.join(found, "node", "left").select("key", "node", "size", "pos", "print", F.coalesce("component", "node").alias("label"), *ODD)
+            lists = labelled.repartition("key").sortWithinPartitions("key", "size", "node")
+        if found is None:
+            pairs = tiled
+        elif step <= STARS:
             each = lists.mapInArrow(words.trimmed(_starred), "a long, b long, bits int")
             pairs = each.groupBy("a").agg(F.min(F.struct("bits", F.xxhash64("a", "b", F.lit(step)).alias("h"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         else:
