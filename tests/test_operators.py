@@ -185,3 +185,33 @@ def test_samples(spark):
     genome = spark.createDataFrame([("g", "ACGT" * 300), ("short", "AC")], "name string, sequence string")
     got = records.perfect_reads(genome, 50, 3.0, 1).collect()
     assert 0 < len(got) <= 72 and all(len(r.sequence) == 50 and 0 <= r.start_pos < 1150 for r in got) and {r.strand for r in got} == {"+", "-"}
+
+
+def test_sparse_queries_are_held_in_lanes_and_worked_on_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    cells = {(int(r), int(f)): float(rng.integers(1, 4)) for r, f in zip(rng.integers(0, 120, 900), np.minimum(rng.integers(0, 60, 900), rng.integers(0, 60, 900)))}
+    frame = spark.createDataFrame([(r, f, w) for (r, f), w in cells.items()], "read_id long, feature_id long, weight double")
+    sets = {r: {f: w for (x, f), w in cells.items() if x == r} for r, _ in cells}
+    for lane, most in ((1 << 20, 1 << 30), (100, 500)):
+        monkeypatch.setattr(neighbors, "LANE", lane)
+        monkeypatch.setattr(neighbors, "ROUND", most)
+        for metric in neighbors.METRICS:
+            for meetings in (7, 1 << 20):
+                monkeypatch.setattr(neighbors, "_MEETINGS", meetings)
+                got = neighbors.sparse_topk(frame, 3, metric)
+                assert "SortMergeJoin" not in got._jdf.queryExecution().toString() and "Window" not in got._jdf.queryExecution().toString()
+                want = []
+                for a, x in sets.items():
+                    found = []
+                    for b, y in sets.items():
+                        if a != b and (both := x.keys() & y.keys()):
+                            if metric in ("cosine", "euclidean"):
+                                s, ta, tb = sum(x[f] * y[f] for f in both), sum(v * v for v in x.values()), sum(v * v for v in y.values())
+                                score = s / (ta**0.5 * tb**0.5) if metric == "cosine" else max(ta + tb - 2 * s, 0) ** 0.5
+                            else:
+                                one = metric == "jaccard"
+                                s = sum(1 if one else min(x[f], y[f]) for f in both)
+                                score = s / ((len(x) + len(y) if one else sum(x.values()) + sum(y.values())) - s)
+                            found.append((round(score if metric == "euclidean" else -score, 6), b))
+                    want += [(a, k + 1, b, abs(v)) for k, (v, b) in enumerate(sorted(found)[:3])]
+                assert sorted((r.read_id, r["rank"], r.neighbor_id, round(r.score, 5)) for r in got.collect()) == sorted((a, k, b, round(v, 5)) for a, k, b, v in want)
