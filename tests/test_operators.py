@@ -263,3 +263,30 @@ def test_one_list_of_codes_is_asked_by_several_tasks(spark):
     assert "hashpartitioning(list" in _plan(got) and "lane" in _plan(got)
     want = neighbors.dense_topk(frame, 5)
     assert [r.neighbor_id for r in got.orderBy("read_id", "rank").collect()] == [r.neighbor_id for r in want.orderBy("read_id", "rank").collect()]
+
+
+def test_intervals_meet_in_bins(spark):
+    rng = random.Random(12)
+    one = [(i, rng.choice("ab"), (s := rng.randint(-300, 900)), s + rng.choice([0, 5, 60, 700])) for i in range(150)]
+    two = one + [(rng.randrange(150), rng.choice("ab"), (s := rng.randint(0, 900)), s + rng.randint(1, 300)) for _ in range(40)] + [(None, "a", 0, 900), (7, None, 0, 900)]
+    for given in (one, two):
+        frame = spark.createDataFrame(given, "read_id long, grp string, start_pos long, end_pos long")
+        live = [x for x in given if x[2] < x[3] and None not in x]
+        inside, size = {}, Counter()
+        for r, g, s, e in live:
+            for r2, g2, s2, e2 in live:
+                if g == g2 and r != r2:
+                    if s2 < s and e < e2:
+                        inside.setdefault(r, set()).add(r2)
+                    if s < e2 and s2 < e:
+                        size[r, r2] += min(e, e2) - max(s, s2)
+        got = intervals.contained(frame, 100)
+        assert "Join" not in _plan(got)
+        assert sorted(map(tuple, got.collect())) == sorted((r, min(p)) for r, p in inside.items() if len(p) == 1)
+        want = []
+        for r in {a for a, _ in size}:
+            best = sorted((-n, b) for (a, b), n in size.items() if a == r and n > 20)[:3]
+            want += [(r, b, -n, k + 1) for k, (n, b) in enumerate(best)]
+        got = intervals.top_overlaps(frame, 100, 3, 20)
+        assert given is two or "Join" not in _plan(got)
+        assert sorted((r.read_id, r.neighbor_id, r.overlap_size, r["rank"]) for r in got.collect()) == sorted(want)
