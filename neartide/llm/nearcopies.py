@@ -328,21 +328,26 @@ def representatives(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     parities = sets.select("node", "keys").mapInArrow(words.trimmed(_odd), "node long, " + ", ".join(f"{c} long" for c in ODD))
     shared = materialize(shared.join(parities, "node").select("key", "node", "size", "pos", "print", *ODD), "near-marked")
 
-    edges, found = None, None
+    found = None
     for step in range(STARS + 2):
-        if found is not None:
-            labelled = shared.join(found, "node", "left").select("key", "node", "size", "pos", "print", F.coalesce("component", "node").alias("label"), *ODD)
-            lists = labelled.repartition("key").sortWithinPartitions("key", "size", "node")
-        if found is None:
+        if step == 0:
             pairs = tiled
-        elif step <= STARS:
-            each = lists.mapInArrow(words.trimmed(_starred), "a long, b long, bits int")
-            pairs = each.groupBy("a").agg(F.min(F.struct("bits", F.xxhash64("a", "b", F.lit(step)).alias("h"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         else:
-            pairs = lists.mapInArrow(words.trimmed(_crossed), "a long, b long").distinct()
-        new = _linked(pairs, sets)
-        edges = new if edges is None else edges.unionByName(new)
-        found = connected_components(edges)
+            label = shared.withColumn("label", F.col("node")) if found is None else shared.join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
+            lists = label.select("key", "node", "size", "pos", "print", "label", *ODD).repartition("key").sortWithinPartitions("key", "size", "node")
+            if step <= STARS:
+                each = lists.mapInArrow(words.trimmed(_starred), "a long, b long, bits int")
+                pairs = each.groupBy("a").agg(F.min(F.struct("bits", F.xxhash64("a", "b", F.lit(step)).alias("h"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+            else:
+                pairs = lists.mapInArrow(words.trimmed(_crossed), "a long, b long").distinct()
+            pairs = materialize(pairs, "near-met")
+        # a step without pairs or links costs no joins, and no plans of the driver
+        if pairs.isEmpty() or (new := _linked(pairs, sets)).isEmpty():
+            continue
+        if found is not None:
+            new = new.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        found = connected_components(new)
 
-    classes = nodes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("class")).agg(F.min("best").alias("best"))
+    named = nodes.withColumn("class", F.col("node")) if found is None else nodes.join(found, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    classes = named.groupBy("class").agg(F.min("best").alias("best"))
     return whole.join(classes.select(F.col("best._row").alias(name)), name, "left_semi").select([F.col(f"`{c}`") for c in docs.columns])

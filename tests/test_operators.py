@@ -306,3 +306,23 @@ def test_shared_buckets_are_counted_without_pairs(spark):
     assert "Join" not in _plan(got)
     assert got.dtypes == [("read_id", "bigint"), ("rank", "int"), ("neighbor_id", "bigint"), ("score", "bigint")]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Small graphs end in one task; larger ones in rounds, with the same classes."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 700)] + [(900, 900), (None, 3), (5, 5)]
+    frame = spark.createDataFrame(rows, "u long, v long").repartition(7)
+    spark.sparkContext.setJobGroup("few", "few")
+    got = {r.node: r.component for r in connected_components(frame).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {r.node: r.component for r in connected_components(frame, small=0).collect()}
+    least = {}
+    for u, v in (r for r in rows if r[0] is not None):
+        a, b = least.setdefault(u, {u}), least.setdefault(v, {v})
+        if a is not b:
+            a |= b
+            least.update((k, a) for k in b)
+    assert got == {k: min(c) for k, c in least.items()}
+    assert jobs <= 6
