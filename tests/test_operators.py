@@ -347,3 +347,20 @@ def test_class_counters_are_few_and_score_as_all_pairs(spark):
         assert evaluate.truth_statistics(knn, few, k).collect() == evaluate.truth_statistics(knn, every, k).collect()
         assert few.count() <= 2 * k * len(labels) + asked.count()
     assert evaluate.class_counters(rows.limit(0), asked, 6, lambda u, v: u + v, lambda u, v: u + v).count() == 0
+
+
+def test_overlap_counters_of_single_intervals_are_not_summed(spark, capsys):
+    rng = random.Random(6)
+    single = [(k, rng.choice("ab"), s, s + rng.randint(-5, 90)) for k in range(60) for s in [rng.randrange(400)]] + [(None, "a", 0, 400), (77, None, 0, 400)]
+    several = [(k, rng.choice("ab"), s, s + rng.randint(-5, 90)) for k in range(50, 70) for s in rng.sample(range(400), 2)]
+    for given in (single, single + several):
+        want = Counter()
+        for r, g, s, e in given:
+            for q, h, a, b in given:
+                if None not in (r, q, g) and r != q and g == h and s < b and a < e and s < e and a < b:
+                    want[r, q] += min(e, b) - max(s, a)
+        got = intervals.overlap_counters(spark.createDataFrame(given, "read_id long, grp string, start_pos long, end_pos long"), 50)
+        assert rows(got) == sorted((*k, n) for k, n in want.items())
+        if given is single:
+            got.explain()
+            assert "HashAggregate" not in capsys.readouterr().out
