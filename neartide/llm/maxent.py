@@ -48,6 +48,8 @@ CLASSES = SINGLES + ENDINGS
 STEPS = 4
 CELL_PRIOR = 6.0  # counts that hold a cell's weight at nothing
 BATCH = 1024
+CELL_BATCH = BATCH * CLASSES // CELLS
+ADDED = 32 * BATCH  # rows of probabilities that are added up at once
 TASK_BYTES = 16 << 20  # text of one gradient task
 PIECE = 1 << 14  # numbers of one message of a gradient
 FAN = 32  # gradients that one task adds up
@@ -131,6 +133,52 @@ def _log_softmax(weight: np.ndarray, features: np.ndarray, bias: np.ndarray) ->
     return x
 
 
+class _Softmax:
+    """Probabilities from sums of ``active`` weights: products of exponentials told once, unless those could leave the range of a float."""
+
+    def __init__(self, weight: np.ndarray, bias: np.ndarray, active: int):
+        self.weight, self.bias = weight, bias
+        self.products = active * float(np.abs(weight).max()) + float(np.abs(bias).max()) < 60
+        if self.products:
+            self.weight, self.bias = np.exp(weight), np.exp(bias)
+
+    def _joined(self, features: np.ndarray, kind: np.ndarray | None) -> np.ndarray:
+        """Numbers in proportion to the probabilities, or where they are no products the logarithms of such; ``kind`` names each row's bias."""
+        join = np.multiply if self.products else np.add
+        x = self.weight[features[:, 0]]
+        for f in range(1, features.shape[1]):
+            join(x, self.weight[features[:, f]], out=x)
+        join(x, self.bias if kind is None else self.bias[kind], out=x)
+        if not self.products:
+            x -= x.max(1, keepdims=True)
+        return x
+
+    def _total(self, x: np.ndarray) -> np.ndarray:
+        """Sums of the rows that ``_joined`` gave, which become numbers in proportion to the probabilities."""
+        if not self.products:
+            np.exp(x, out=x)
+        return x @ np.ones(x.shape[1], x.dtype)
+
+    @property
+    def all(self) -> np.ndarray:
+        """The probabilities that the biases alone give."""
+        x = self.bias if self.products else np.exp(self.bias - self.bias.max(-1, keepdims=True))
+        return x / x.sum(-1, keepdims=True)
+
+    def rows(self, features: np.ndarray, times: np.ndarray | int = 1, kind: np.ndarray | None = None) -> np.ndarray:
+        """The probabilities, times a number for each row."""
+        x = self._joined(features, kind)
+        total = self._total(x)
+        x *= (times / total).astype(x.dtype)[:, None]
+        return x
+
+    def log_chosen(self, features: np.ndarray, row: np.ndarray, column: np.ndarray, kind: np.ndarray | None = None) -> np.ndarray:
+        """Logarithms of the probabilities at the given places."""
+        x = self._joined(features, kind)
+        chosen = x[row, column].astype(np.float64)
+        return (np.log(chosen) if self.products else chosen) - np.log(self._total(x).astype(np.float64))[row]
+
+
 @dataclass
 class Model:
     """Everything that scoring needs beside the counts; its size has a fixed bound."""
@@ -202,6 +250,19 @@ def _add(total: np.ndarray, features: np.ndarray, p: np.ndarray) -> None:
             total[ids[heads]] += np.add.reduceat(rows, heads, axis=0)
 
 
+def _add_wide(total: np.ndarray, features: np.ndarray, p: np.ndarray) -> None:
+    """``_add`` for many long rows: those of a feature with several are brought together one feature after the other."""
+    for f in range(features.shape[1]):
+        order = np.argsort(features[:, f], kind="stable")
+        ids = features[order, f]
+        heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        size = np.diff(np.append(heads, len(ids)))
+        one, several = heads[size == 1], heads[size > 1]
+        total[ids[one]] += p[order[one]]
+        for i, a, b in zip(ids[several].tolist(), several.tolist(), (several + size[size > 1]).tolist()):
+            total[i] += np.add.reduce(p[order[a:b]], 0)
+
+
 _PIECES = "at int, part int, data binary"
 
 
@@ -212,33 +273,48 @@ def _gradient(table: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray, .
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = np.zeros(sum(a * b for a, b in shapes), np.float32)
         seen, thought, cell_seen, cell_thought = _split(whole, shapes)
-        some = False
+        began = False
+        p = np.empty((ADDED, CLASSES), np.float32)
+        flat = not model.weight.any() and not model.cell_weight.any()
+        softmax, cells = _Softmax(model.weight, model.bias, 3), _Softmax(model.cell_weight, model.cell_bias, 2)
         for row in rows_of(batches):
-            some = True
+            began = True
             tokens = _Tokens(Block(row))
             rank = model.ranks(tokens.keys)
             one, two = model.context(tokens, rank)
             use = np.flatnonzero(~tokens.held[tokens.doc])
             one, two, rank, ending = one[use], two[use], rank[use], tokens.ending[use]
             target = np.where(rank < SINGLES, rank, SINGLES + ending)
-            # equal contexts have equal expectations: one row each, times how often it is seen
-            _, index, inverse, times = np.unique(one * model.width + two, return_index=True, return_inverse=True, return_counts=True)
-            features = model.features(one[index], two[index])
-            for f in range(features.shape[1]):
-                seen.reshape(-1)[:] += np.bincount(features[inverse, f] * CLASSES + target, minlength=seen.size)
-            for i in range(0, len(index), BATCH):
-                p = np.exp(_log_softmax(model.weight, features[i : i + BATCH], model.bias))
-                p *= times[i : i + BATCH, None].astype(np.float32)
-                _add(thought, features[i : i + BATCH], p)
-            rest = np.flatnonzero(rank >= SINGLES)
-            cell = _cell(tokens.keys[use[rest]])
-            for i in range(0, len(rest), BATCH):
-                at = rest[i : i + BATCH]
-                features = model.cell_features(ending[at], one[at], two[at])
+            if flat:
+                features = model.features(one, two)
                 for f in range(features.shape[1]):
-                    np.add.at(cell_seen.reshape(-1), features[:, f] * CELLS + cell[i : i + BATCH], np.float32(1))
-                _add(cell_thought, features, np.exp(_log_softmax(model.cell_weight, features, model.cell_bias[ending[at]])))
-        if some:
+                    seen.reshape(-1)[:] += np.bincount(features[:, f] * CLASSES + target, minlength=seen.size)
+            else:
+                # equal contexts have equal expectations: one row each, times how often it is seen
+                key = one * model.width + two
+                order = np.argsort(key)
+                heads = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]])[: len(key)])
+                index, times = order[heads], np.diff(np.append(heads, len(key)))
+                features = model.features(one[index], two[index])
+                for f in range(features.shape[1]):
+                    seen.reshape(-1)[:] += np.bincount(np.repeat(features[:, f], times) * CLASSES + target[order], minlength=seen.size)
+                for i in range(0, len(index), ADDED):
+                    some = features[i : i + ADDED]
+                    for j in range(0, len(some), BATCH):
+                        p[j : j + BATCH][: len(some) - j] = softmax.rows(some[j : j + BATCH], times[i + j : i + min(j + BATCH, ADDED)])
+                    _add_wide(thought, some, p[: len(some)])
+            rest = np.flatnonzero(rank >= SINGLES)
+            ending, cell = ending[rest], _cell(tokens.keys[use[rest]])
+            features = model.cell_features(ending, one[rest], two[rest])
+            for f in range(features.shape[1]):
+                cell_seen.reshape(-1)[:] += np.bincount(features[:, f] * CELLS + cell, minlength=cell_seen.size)
+                if flat:
+                    cell_thought += np.bincount(features[:, f] * ENDINGS + ending, minlength=CELL_ROWS * ENDINGS).reshape(CELL_ROWS, ENDINGS) @ cells.all
+            for i in range(0, 0 if flat else len(rest), CELL_BATCH):
+                _add(cell_thought, features[i : i + CELL_BATCH], cells.rows(features[i : i + CELL_BATCH], kind=ending[i : i + CELL_BATCH]))
+        if flat:  # without weights all contexts expect the same
+            thought += seen.sum(1, keepdims=True) * softmax.all
+        if began:
             part, press = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
             for i in range(0, len(whole), 16 * PIECE):
                 pieces = [whole[j : j + PIECE] for j in range(i, min(i + 16 * PIECE, len(whole)), PIECE)]
@@ -355,20 +431,22 @@ def score(docs: DataFrame, steps: int = STEPS) -> DataFrame:
         within[rank < SINGLES] = 0.0  # a class of one token has no room for others: they are classed by their ending
         target = np.where(rank < SINGLES, rank, SINGLES + ending)[inverse]
         one, two = model.context(tokens, rank[inverse])
-        _, index, context = np.unique(one * model.width + two, return_index=True, return_inverse=True)
-        order = np.argsort(context, kind="stable")
-        starts = np.searchsorted(context[order], np.arange(0, len(index) + BATCH, BATCH))
+        key = one * model.width + two
+        order = np.argsort(key)
+        new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+        index, context = order[new], np.cumsum(new) - 1  # the contexts of the tokens in order
+        starts = np.searchsorted(context, np.arange(0, len(index) + BATCH, BATCH))
         chosen = np.empty(len(target))
+        softmax, cells = _Softmax(model.weight, model.bias, 3), _Softmax(model.cell_weight, model.cell_bias, 2)
         for i, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
             at = index[i * BATCH : (i + 1) * BATCH]
-            part, use = _log_softmax(model.weight, model.features(one[at], two[at]), model.bias), order[a:b]
-            chosen[use] = part[context[use] - i * BATCH, target[use]]
+            use = order[a:b]
+            chosen[use] = softmax.log_chosen(model.features(one[at], two[at]), context[a:b] - i * BATCH, target[use])
         rest = np.flatnonzero(target >= SINGLES)
-        for i in range(0, len(rest), BATCH):
-            at = rest[i : i + BATCH]
+        for i in range(0, len(rest), CELL_BATCH):
+            at = rest[i : i + CELL_BATCH]
             kind = target[at] - SINGLES
-            part = _log_softmax(model.cell_weight, model.cell_features(kind, one[at], two[at]), model.cell_bias[kind])
-            chosen[at] += part[np.arange(len(at)), cell[inverse[at]]]
+            chosen[at] += cells.log_chosen(model.cell_features(kind, one[at], two[at]), np.arange(len(at)), cell[inverse[at]], kind)
         per = lambda x: np.bincount(tokens.doc, weights=x, minlength=n_docs)
         yield pa.RecordBatch.from_arrays(
             [

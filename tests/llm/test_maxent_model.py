@@ -65,3 +65,41 @@ def test_scores_are_those_of_a_distribution(spark, monkeypatch):
             total += of_class[maxent.SINGLES + ending] * of_cell[cell] * 0.5 / (model.place_tokens[place] + 0.5 * (model.place_types[place] + 1))
     singles = of_class[min(maxent.SINGLES, len(model.known)) : maxent.SINGLES].sum()
     assert abs(total + singles - 1) < 1e-3
+
+
+def test_probabilities_are_products_where_floats_hold_them():
+    rng = np.random.default_rng(4)
+    features = rng.integers(0, 40, (300, 3))
+    for scale, products in ((1.0, True), (40.0, False)):
+        weight, bias = (rng.normal(size=s).astype(np.float32) * scale for s in ((40, 7), (5, 7)))
+        kind, times = rng.integers(0, 5, 300), rng.integers(1, 9, 300)
+        softmax = maxent._Softmax(weight, bias, 3)
+        assert softmax.products == products
+        plain = maxent._log_softmax(weight, features, bias[kind])
+        assert np.allclose(softmax.rows(features, times, kind), np.exp(plain) * times[:, None], atol=1e-4)
+        row, column = rng.integers(0, 300, 900), rng.integers(0, 7, 900)
+        assert np.allclose(softmax.log_chosen(features, row, column, kind), plain[row, column], atol=1e-3)
+        assert np.allclose(softmax.all, np.exp(maxent._log_softmax(np.zeros_like(weight), np.zeros((5, 1), int), bias)), atol=1e-6)
+
+
+def test_rows_add_up_whether_a_feature_has_one_or_several():
+    rng = np.random.default_rng(5)
+    features, p = np.stack([np.sort(rng.integers(0, 9, 500)), rng.integers(0, 900, 500), rng.integers(0, 60, 500)], 1), rng.random((500, 6), np.float32)
+    wanted = np.zeros((900, 6), np.float32)
+    for f in range(3):
+        np.add.at(wanted, features[:, f], p)
+    for add in (maxent._add, maxent._add_wide):
+        got = np.zeros((900, 6), np.float32)
+        add(got, features, p)
+        assert np.allclose(got, wanted, atol=1e-3)
+
+
+def test_first_update_needs_no_probabilities_of_contexts(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * i) % 97}" for i in range(200))) for k in range(60)], "doc_id long, text string")
+    table, _, counts, model = maxent.learned(docs, 1)
+    model.weight[:], model.cell_weight[:] = 0, 0
+    flat = maxent._gradient(table, model, 1)
+    model.weight[-1], model.cell_weight[-1] = 1e-9, 1e-9  # no longer nothing
+    plain = maxent._gradient(table, model, 1)
+    for a, b in zip(flat, plain):
+        assert a.sum() > 0 and np.allclose(a, b, rtol=1e-4, atol=1e-3)
