@@ -391,3 +391,23 @@ def test_buckets_count_repeated_names_and_many_repeats(spark):
     buckets = spark.createDataFrame(named, "read_id long, repeat int, feature_id long")
     got = neighbors.bucket_neighbors(buckets, 4, 2, 9).collect()
     assert any(len(set(x)) < 2 for x in zip(named[::2], named[1::2])) and sorted(map(tuple, got)) == sorted(wanted)
+
+
+def test_cosines_by_product_are_those_of_single_meetings(monkeypatch):
+    rng = np.random.default_rng(8)
+    cells = [np.unique((60 * rng.random(25) ** 2).astype(np.int64)) for _ in range(150)] * 2  # copies tie
+    names, counts, features = np.arange(300), np.array([len(c) for c in cells], np.int32), np.concatenate(cells)
+    weights = 0.5 + features % 7
+    dense = np.zeros((300, 60))
+    dense[np.repeat(names, counts), features] = weights
+    score = np.round(dense @ dense.T / np.sqrt((dense**2).sum(1)[:, None] * (dense**2).sum(1)[None, :]), 6)
+    np.fill_diagonal(score, -1)
+    calls = []
+    monkeypatch.setattr(neighbors._Held, "_by_product", lambda self, *a, old=neighbors._Held._by_product: calls.append(1) or old(self, *a))
+    for block, meetings in ((1 << 23, 1 << 20), (300 * 2, 500)):  # all features in the block, or two and the others in small steps
+        monkeypatch.setattr(neighbors, "_BLOCK", block)
+        monkeypatch.setattr(neighbors, "_MEETINGS", meetings)
+        held = neighbors._Held(names, counts, features, weights, 5, "cosine", False, 6)
+        held.meet(names, counts, features, weights)
+        assert calls and (held.near == np.lexsort((np.broadcast_to(names, score.shape), -score), axis=1)[:, :5]).all()
+        assert np.abs(-held.value - np.take_along_axis(score, held.near, 1)).max() < 2e-6
