@@ -349,6 +349,27 @@ def test_class_counters_are_few_and_score_as_all_pairs(spark):
     assert evaluate.class_counters(rows.limit(0), asked, 6, lambda u, v: u + v, lambda u, v: u + v).count() == 0
 
 
+def test_overlap_edges_of_equal_intervals_come_from_classes(spark, monkeypatch):
+    rng = random.Random(11)
+    spans = [(rng.choice("ab"), s, s + rng.randint(1, 120)) for s in rng.sample(range(-300, 300), 12)]
+    spans += [("a", 10, 60), ("a", 10, 90), ("b", 10, 60), ("a", 40, 90), ("a", 5, 5), ("a", 9, 2)]
+    given = [(r, *spans[i]) for i in range(len(spans)) for r in rng.sample(range(200), rng.randint(1, 9))]  # reads may have several
+    given += given[:20] + [(None, "a", 0, 400), (7, None, 0, 400), (7, "a", None, 400), (8, "a", 0, None)]
+    want = []
+    for x, g, s, e in given:
+        for y, h, a, b in given:
+            if None not in (x, y, g, s, e, a, b) and x < y and g == h and s < b and a < e and s < e and a < b:
+                want.append((x, y, min(e, b) - max(s, a), abs(s - a), y if a < s else x, abs(e - b), y if b > e else x, True))
+    table = spark.createDataFrame(given, "read_id long, grp string, start_pos long, end_pos long")
+    for members in (1024, 3):  # a class in one row, and in several
+        monkeypatch.setattr(intervals, "_MEMBERS", members)
+        assert rows(intervals.overlap_edges(table, 50)) == sorted(want)
+    monkeypatch.undo()
+    copies = spark.range(3000).selectExpr("id AS read_id", "'a' AS grp", "10L * (id % 3) AS start_pos", "100L AS end_pos")
+    left = intervals.overlap_edges(copies, 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(ps" in left and intervals._class_pairs(intervals._classes(copies), 50).count() == 6
+
+
 def test_overlap_counters_of_single_intervals_are_not_summed(spark, capsys):
     rng = random.Random(6)
     single = [(k, rng.choice("ab"), s, s + rng.randint(-5, 90)) for k in range(60) for s in [rng.randrange(400)]] + [(None, "a", 0, 400), (77, None, 0, 400)]
