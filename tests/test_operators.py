@@ -387,6 +387,25 @@ def test_overlap_counters_of_single_intervals_are_not_summed(spark, capsys):
             assert "HashAggregate" not in capsys.readouterr().out
 
 
+def test_overlap_counters_of_equal_intervals_come_from_classes(spark, monkeypatch):
+    rng = random.Random(12)
+    spans = [("a", 10, 60), ("a", 10, 90), ("b", 10, 60), ("a", 40, 190), ("a", 5, 5), ("a", -70, 12)]
+    given = [(r, *rng.choice(spans)) for r in range(80)] + [(r, *x) for r in range(75, 85) for x in spans[:2]]
+    want = Counter()
+    for x, g, s, e in given:
+        for y, h, a, b in given:
+            if x != y and g == h and s < b and a < e and s < e and a < b:
+                want[x, y] += min(e, b) - max(s, a)
+    table = spark.createDataFrame(given, "read_id long, grp string, start_pos long, end_pos long")
+    for members in (1024, 3):
+        monkeypatch.setattr(intervals, "_MEMBERS", members)
+        assert rows(intervals.overlap_counters(table, 50)) == sorted((*k, n) for k, n in want.items())
+    copies = spark.range(300).selectExpr("id AS read_id", "'a' AS grp", "10L * (id % 3) AS start_pos", "100L AS end_pos")
+    monkeypatch.undo()
+    got = intervals.overlap_counters(copies, 50)
+    assert got.count() == 300 * 299 and "Generate explode(ps" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lowhash_draws_a_feature_once_for_all_reads(spark):
     rows = [(r, f"f{(r * i) % 23}", 1.0 + (r + i) % 3) for r in range(40) for i in range(1, 6)]
     features = spark.createDataFrame(rows, "read_id long, feature_id string, weight double").distinct()
